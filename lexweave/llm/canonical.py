@@ -52,7 +52,7 @@ _NEUTRAL = regex.compile(r"[\p{scx=Common}\p{scx=Inherited}]")
 _JOINING = regex.compile(
     r"[\p{Arabic}\p{Syriac}\p{Mongolian}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Khmer}\p{Myanmar}]"
 )
-_RTL = regex.compile(r"[\p{bc=R}\p{bc=AL}]")
+_RTL = regex.compile(r"[[\p{bc=R}\p{bc=AL}]&&\p{L}]", regex.V1)
 _PICTURE = regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}\p{Regional_Indicator}⃣️0-9#*]")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _PHONETIC = re.compile("[ɐɒ-ɠɢ-ʯːˈˌ]")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.llm import canonical
+from lexweave.llm import canonical, leakage, spans
 from lexweave.session import table
 
 
@@ -25,8 +25,39 @@ def p2_documents(spark, sf):
     return canonical.clean_texts(docs).select("doc_id", F.sha2("text", 256).alias("text_sha"), F.length("text").alias("n_chars"))
 
 
+def p7_found(spark, sf):
+    found = leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), window=12, max_edits=0)
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p7_leaks(spark, sf):
+    """Passages of 24 words up to two word edits: altered leaks too."""
+    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), window=24, max_edits=2)
+
+
+def p7_items(spark, sf):
+    return leakage.leaked_items(leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")))
+
+
+def p8_found(spark, sf):
+    docs = table(spark, sf, "documents")
+    return spans.document_pairs(spans.index_batches(docs), spans.class_members(docs))
+
+
+def p8_stretches(spark, sf):
+    return spans.stretches(spans.index_batches(table(spark, sf, "documents")))
+
+
+def p8_coverage(spark, sf):
+    docs = table(spark, sf, "documents")
+    return spans.coverage(spans.index_batches(docs), docs)
+
+
+_QUERIES = (p2_found, p2_lexicon, p2_documents, p7_found, p7_leaks, p7_items, p8_found, p8_stretches, p8_coverage)
+
+
 def queries():
-    return {"p2_found": p2_found, "p2_lexicon": p2_lexicon, "p2_documents": p2_documents}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql():
