@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.llm import canonical, leakage, spans
+from lexweave.llm import canonical, leakage, packing, spans, splits
 from lexweave.session import table
 
 
+def p1_found(spark, sf):
+    pairs = splits.overlaps(table(spark, sf, "essays"))
+    return pairs.select(F.least("train_row", "eval_row").alias("essay_a"), F.greatest("train_row", "eval_row").alias("essay_b"))
+
+
+def p1_counts(spark, sf):
+    essays = table(spark, sf, "essays")
+    return splits.overlap_counts(essays, splits.overlaps(essays))
+
+
 def p2_found(spark, sf):
     docs = canonical.changed_texts(table(spark, sf, "documents"), "doc_id", "text")
     forms = canonical.clean_lexicon(table(spark, sf, "flemma_forms")).filter("changed")
@@ -25,6 +35,14 @@ def p2_documents(spark, sf):
     return canonical.clean_texts(docs).select("doc_id", F.sha2("text", 256).alias("text_sha"), F.length("text").alias("n_chars"))
 
 
+def p6_packed(spark, sf):
+    return packing.pack(packing.token_counts(table(spark, sf, "documents")))
+
+
+def p6_fill(spark, sf):
+    return packing.fill(p6_packed(spark, sf))
+
+
 def p7_found(spark, sf):
     found = leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), window=12, max_edits=0)
     return found.select("doc_id", "item_id").distinct()
@@ -53,7 +71,7 @@ def p8_coverage(spark, sf):
     return spans.coverage(spans.index_batches(docs), docs)
 
 
-_QUERIES = (p2_found, p2_lexicon, p2_documents, p7_found, p7_leaks, p7_items, p8_found, p8_stretches, p8_coverage)
+_QUERIES = (p1_found, p1_counts, p6_packed, p6_fill, p2_found, p2_lexicon, p2_documents, p7_found, p7_leaks, p7_items, p8_found, p8_stretches, p8_coverage)
 
 
 def queries():
