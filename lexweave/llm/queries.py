@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.llm import canonical, leakage, packing, spans, splits
+from lexweave.llm import canonical, leakage, packing, pii, spans, splits
 from lexweave.session import table
 
 
@@ -35,6 +35,20 @@ def p2_documents(spark, sf):
     return canonical.clean_texts(docs).select("doc_id", F.sha2("text", 256).alias("text_sha"), F.length("text").alias("n_chars"))
 
 
+def p5_found(spark, sf):
+    return pii.mentions(table(spark, sf, "documents")).select("doc_id", "start_at", "kind").distinct()
+
+
+def p5_redacted(spark, sf):
+    return pii.redacted(table(spark, sf, "documents"))
+
+
+def p5_kinds(spark, sf):
+    return pii.mentions(table(spark, sf, "documents")).groupBy("kind").agg(
+        F.count("*").alias("n_mentions"), F.countDistinct("doc_id").alias("n_docs")
+    )
+
+
 def p6_packed(spark, sf):
     return packing.pack(packing.token_counts(table(spark, sf, "documents")))
 
@@ -71,7 +85,7 @@ def p8_coverage(spark, sf):
     return spans.coverage(spans.index_batches(docs), docs)
 
 
-_QUERIES = (p1_found, p1_counts, p6_packed, p6_fill, p2_found, p2_lexicon, p2_documents, p7_found, p7_leaks, p7_items, p8_found, p8_stretches, p8_coverage)
+_QUERIES = (p1_found, p1_counts, p5_found, p5_redacted, p5_kinds, p6_packed, p6_fill, p2_found, p2_lexicon, p2_documents, p7_found, p7_leaks, p7_items, p8_found, p8_stretches, p8_coverage)
 
 
 def queries():

@@ -41,7 +41,7 @@ from lexweave.session import materialize, work_path
 
 SHINGLE = 5
 THRESHOLD = 0.85
-SHARD_WORDS = 8_000_000
+SHARD_WORDS = 6_000_000
 EVAL_SETS = ("test", "validation")
 
 # Fixed value: a word is a run of letters with at most one apostrophe and a further run.
@@ -119,6 +119,7 @@ class TextIndex:
         symbol = np.repeat(np.arange(len(first) - 1), np.diff(first))
         self.occ = symbol * (self.n + 1) + places.astype(np.int64)  # occurrence lists, one after another
         self.docs, self.keys, self.counts, self.grams, self.gram_at = docs, keys, counts, grams, gram_at
+        self.first = first
         self.first_word = len(first) - 1 - len(vocab)
 
     @classmethod
@@ -176,8 +177,9 @@ class TextIndex:
             return lo, hi
         known = np.concatenate([[0], np.cumsum(ids >= self.first_word)])
         at = np.flatnonzero(known[SHINGLE:] - known[:-SHINGLE] == SHINGLE)
-        a, b = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64)
-        for j in range(SHINGLE - 1, -1, -1):
+        last = ids[at + SHINGLE - 1]
+        a, b = self.first[last], self.first[last + 1]  # suffixes that start with the last word
+        for j in range(SHINGLE - 2, -1, -1):
             a, b = self.step(a, b, ids[at + j])
             ok = b > a
             at, a, b = at[ok], a[ok], b[ok]
