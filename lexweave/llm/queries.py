@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.llm import canonical, leakage, packing, pii, spans, splits
+from lexweave.llm import canonical, leakage, packing, pii, reading, spans, splits
 from lexweave.session import table
 
 
@@ -35,6 +35,22 @@ def p2_documents(spark, sf):
     return canonical.clean_texts(docs).select("doc_id", F.sha2("text", 256).alias("text_sha"), F.length("text").alias("n_chars"))
 
 
+def p4_levels(spark, sf):
+    docs, lex = table(spark, sf, "documents"), reading.lexicon(table(spark, sf, "rank_list"))
+    return reading.levels(docs, reading.learn(docs, table(spark, sf, "doc_labels"), lex), lex)
+
+
+def p4_quality(spark, sf):
+    """One row: rank agreement with held-out grades."""
+    docs, lex = table(spark, sf, "documents"), reading.lexicon(table(spark, sf, "rank_list"))
+    got = reading.held_out(docs, table(spark, sf, "doc_labels"), lex)
+    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{k} {'long' if k[:2] == 'n_' else 'double'}" for k in got))
+
+
+def p4_profile(spark, sf):
+    return p4_levels(spark, sf).groupBy("status", "band").agg(F.count("*").alias("n_docs"), F.avg("n_words").alias("mean_words"))
+
+
 def p5_found(spark, sf):
     return pii.mentions(table(spark, sf, "documents")).select("doc_id", "start_at", "kind").distinct()
 
@@ -85,7 +101,7 @@ def p8_coverage(spark, sf):
     return spans.coverage(spans.index_batches(docs), docs)
 
 
-_QUERIES = (p1_found, p1_counts, p5_found, p5_redacted, p5_kinds, p6_packed, p6_fill, p2_found, p2_lexicon, p2_documents, p7_found, p7_leaks, p7_items, p8_found, p8_stretches, p8_coverage)
+_QUERIES = (p1_found, p1_counts, p4_levels, p4_quality, p4_profile, p5_found, p5_redacted, p5_kinds, p6_packed, p6_fill, p2_found, p2_lexicon, p2_documents, p7_found, p7_leaks, p7_items, p8_found, p8_stretches, p8_coverage)
 
 
 def queries():
