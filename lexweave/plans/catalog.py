@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.plans import diversity_queries, profile_queries, records_queries
+from lexweave.plans import corpus_queries, diversity_queries, profile_queries, records_queries
 
-_MODULES = (records_queries, diversity_queries, profile_queries)
+_MODULES = (records_queries, diversity_queries, profile_queries, corpus_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
