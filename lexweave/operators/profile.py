@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,21 +102,36 @@ def hard_histogram(mapped: DataFrame, keys: list[str], segment: int = 10, above:
 def p_lex(mapped: DataFrame, keys: list[str], segment: int = 10, above: int = 1) -> DataFrame:
     """Poisson rate fitted to the distribution of hard words per segment.
 
-    The grid search runs once per distinct histogram: many short texts share one.
+    The grid search runs once per distinct histogram (many short texts share one), as a product of
+    the histograms with the distribution at all grid points.
     """
     per = hard_histogram(mapped, keys, segment, above)
     distinct = per.filter("n_segments > 0").select("n_segments", "hist").distinct()
 
-    def error(lam: Column) -> Column:
-        e = F.exp(-lam)
-        return sum((F.pow(F.col("hist")[k] / F.col("n_segments") - e * F.pow(lam, F.lit(k)) / _factorial(k), F.lit(2)) for k in range(segment + 1)), F.lit(0.0))
-
-    def least(grid: Column) -> Column:
-        return F.array_min(F.transform(grid, lambda x: F.struct(error(x).alias("e"), x.alias("x"))))["x"]
-
-    coarse = distinct.withColumn("b", least(F.transform(F.sequence(F.lit(0), F.lit(100 * segment)), lambda i: i * F.lit(0.01))))
-    near = F.filter(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.col("b") - 0.01 + i * F.lit(0.0005)), lambda x: (x >= 0) & (x <= segment))
-    fit = coarse.select("n_segments", "hist", least(F.concat(F.array("b"), near)).alias("lambda"))
+    grid = np.arange(100 * segment + 1) * 0.01
+    factorials = np.array([float(_factorial(k)) for k in range(segment + 1)])
+
+    def poisson(x: np.ndarray) -> np.ndarray:
+        return np.exp(-x)[..., None] * x[..., None] ** np.arange(segment + 1) / factorials
+
+    def fit_batches(batches):
+        coarse = poisson(grid)
+        for b in batches:
+            n = b.column(0).to_numpy().astype(float)
+            hist = np.array(b.column(1).to_pylist(), float).reshape(len(n), segment + 1)
+            seen = hist / n[:, None]
+            best = np.empty(len(n))
+            for s in range(0, len(n), 2000):  # errors of 2,000 histograms at every grid point at once
+                o = seen[s : s + 2000]
+                error = (coarse**2).sum(axis=1) - 2 * o @ coarse.T
+                best[s : s + 2000] = grid[error.argmin(axis=1)]
+            near = best[:, None] - 0.01 + 0.0005 * np.arange(41)
+            near = np.concatenate([best[:, None], np.clip(near, 0, segment)], axis=1)
+            error = ((poisson(near) - seen[:, None, :]) ** 2).sum(axis=2)
+            found = near[np.arange(len(n)), error.argmin(axis=1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found)], names=["n_segments", "hist", "lambda"])
+
+    fit = distinct.mapInArrow(fit_batches, "n_segments bigint, hist array<bigint>, lambda double")
     mean = sum((F.col("hist")[k] * k for k in range(segment + 1)), F.lit(0)) / F.col("n_segments")
     fitted = F.transform(F.sequence(F.lit(0), F.lit(segment)), lambda k: F.exp(-F.col("lambda")) * F.pow("lambda", k) / F.factorial(k))
     fit = fit.select("n_segments", "hist", "lambda", mean.alias("mean_hard"), fitted.alias("fitted"))

@@ -21,7 +21,7 @@ def _level(c: str = "rank") -> Column:
 
 def _lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """``file, line_no, line`` of small text files (each is read whole, so its lines keep their order)."""
-    t = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    t = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True).select(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("file"), "value")
     return t.select("file", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line_no", "line"))
 
 

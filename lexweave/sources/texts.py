@@ -34,7 +34,7 @@ def text_files(spark: SparkSession, path: str, most_bytes: int | None = None) ->
     txt = F.lower("base").endswith(".txt")
     large = F.lit(False) if most_bytes is None else F.col("length") > most_bytes
     warning = F.when(~txt, "not a text file").when(large, "too large")
-    return f.select(label.alias("name"), F.col("length").alias("n_bytes"), F.when(warning.isNull(), F.decode(F.col("content"), "UTF-8")).alias("text"), warning.alias("warning"))
+    return f.select(label.alias("name"), F.col("length").alias("n_bytes"), F.when(warning.isNull(), F.make_valid_utf8(F.col("content").cast("string"))).alias("text"), warning.alias("warning"))
 
 
 def safe_name(name: str) -> str | None:
