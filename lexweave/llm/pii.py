@@ -232,7 +232,7 @@ class Decoder:
             while out and out[-1][0] == d and out[-1][1] >= m[0]:  # the wider one takes in what it covers
                 out.pop()
             if not (out and out[-1][0] == d and out[-1][2] > m[0]):
-                out.append((int(d), *m, KINDS[kind[s] - 1]))
+                out.append((int(d), *m))
         return out
 
 
@@ -247,9 +247,15 @@ _BEFORE = {
 _LEAD = {"email": re.compile(r"(?:\W*mailto:)?[^\w]*", re.I), "phone": re.compile(r"[^\w+(]*"), "id_number": re.compile(r"\W*"), "address": re.compile(r"\W*"), "person": re.compile(r"\W*")}
 
 
-def trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
+_ADDRESS_TAIL = re.compile(r"[\w.+\-]*@[\w\-]+(?:\.[\w\-]+)+")
+
+
+def trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int, str] | None:
     """The exact check of a decoded mention: it begins and ends at a word, a local part or number
-    is not cut in two, and the signs that its kind needs are there."""
+    is not cut in two, and the signs that its kind needs are there. A name inside an email
+    address is that address."""
+    if kind == "person" and "@" in text[end : end + 40] and (m := _ADDRESS_TAIL.match(text, end)):
+        kind, end = "email", m.end()
     if kind == "email":
         start -= len(_LOCAL.search(text[max(0, start - 64) : start]).group())
     else:
@@ -278,7 +284,7 @@ def trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int] | Non
         return None
     if kind == "person" and not re.search(r"[^\W\d_]{2}", s):
         return None
-    return start, end
+    return start, end, kind
 
 
 def viterbi(score: np.ndarray, first: np.ndarray, size: np.ndarray, trans: np.ndarray) -> np.ndarray:

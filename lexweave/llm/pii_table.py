@@ -95,6 +95,9 @@ As {T}{P} and {T}{P} both noticed, the second line was cut.
 {T}{P}, {A}, {F}.
 We waited outside {A} until {T}{P} painted each small gate.
 Yours sincerely,\n{T}{P} {O}
+Yours sincerely,\n{T}{P}
+The boat stopped because {T}{P} discussed my plan.
+One hat was lost because {T}{P} borrowed it.
 cc: {E}
 On the card it said {N} {I}. {T}{P} kept it.
 My old number was {F} but now it is {F}.
@@ -193,13 +196,15 @@ STREET = "Saltmarsh Elmsworth Gannet Hollin Pinfold Orchard Wexcombe Copperfield
 KIND = "Street Road Lane Avenue Drive Court Close Crescent Way St. Rd Rd. Ave. Ave Ln Blvd".split()
 HOST = "example.com example.org example.net mail.example.com post.example.org inbox.test students.school.example reading-club.example mail.co.uk".split()
 
-DET = "a an the each our my one this every her his their some".split()
-ADJ = "sunny clean old tall nice funny modern persistent gradual wet quiet diverse sad big famous soft lucky expensive".split()
+DET = "a a an the each our my one this every her his their some".split()
+ADJ = "bright sunny clean old tall nice funny modern persistent gradual wet quiet diverse sad big famous soft lucky expensive".split()
 NOUN = (
     "library orchard bike game learner station book frequency curriculum window garden ship street road box number name street card "
+    "valley hospital girl hat camera manager scientist bridge traffic vegetable journey apartment puppy boat school message "
     "student teacher doctor cousin chapter page passport licence form evidence workshop lunch letter map box letter test"
 ).split()
 VERB = "cleaned painted saw kept evaluated protected made found opened asked told reduced explained met said wanted carried".split()
+ADVERB = "often too carefully now slowly together again soon then usually later".split()
 LINK = ["because", "after", "but", "and", "near", "with respect to", "beside", "during", "although", "which", "for", "of", "in", "at", "by"]
 SOUND = "bim quin har kel zon ros tam urm dro ck fen dal lom cor pel vel nor mar bra sal jin yar cli gal eth".split()
 TAIL = "let low ed ing ness shor sty sh y er s um tin dock vel rock ish ly formation relation mediation".split()
@@ -214,7 +219,8 @@ def sentence(r: random.Random) -> str:
         noun = r.choice(NOUN) if r.random() < 0.7 else _word(r)
         return f"{r.choice(DET)} {r.choice(ADJ) + ' ' if r.random() < 0.5 else ''}{noun}"
 
-    s = f"{part()} {r.choice(VERB)} {part()}"
+    adverb = f"{r.choice(ADVERB)} " if r.random() < 0.3 else ""
+    s = f"{part()} {adverb}{r.choice(VERB)} {part()}"
     if r.random() < 0.6:
         s += f"{',' if r.random() < 0.3 else ''} {r.choice(LINK)} {part()}"
         if r.random() < 0.5:
