@@ -29,6 +29,7 @@ import math
 import re
 import unicodedata
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -95,18 +96,17 @@ def _side(essays: DataFrame, evaluation: bool) -> DataFrame:
 def _suffix_order(s: np.ndarray) -> np.ndarray:
     """Suffix array by prefix doubling; ends when all ranks differ (each text ends with its own sign)."""
     n = len(s)
-    order = np.argsort(s, kind="stable")
+    order, key, k = np.argsort(s, kind="stable"), s.copy(), 1
     rank = np.empty(n, np.int64)
-    k = 1
-    sorted_key = s[order]
     while True:
-        rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+        sorted_key = key[order]
+        rank[order[0]] = 0
+        rank[order[1:]] = np.cumsum(sorted_key[1:] != sorted_key[:-1])
         if rank[order[-1]] == n - 1:
             return order
-        key = rank * (n + 1)
+        np.multiply(rank, n + 1, out=key)
         key[:-k] += rank[k:] + 1
         order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
         k *= 2
 
 
@@ -123,12 +123,20 @@ class TextIndex:
         self.first_word = len(first) - 1 - len(vocab)
 
     @classmethod
-    def pack(cls, keys: list[bytes], texts: list[list[str]]) -> list[tuple[str, bytes]]:
-        """The stored parts of the index of some texts."""
-        vocab = sorted(set().union(*texts)) if texts else []
+    def pack(cls, keys: list[bytes], texts: Sequence[str]) -> list[tuple[str, bytes]]:
+        """The stored parts of the index of some texts, each its words with spaces between.
+
+        Words become numbers text by text, so the shard's words never exist as strings all at once.
+        """
+        known: set[str] = set()
+        for t in texts:
+            known.update(t.split(" "))
+        vocab = sorted(known)
         ids = {w: i + len(texts) for i, w in enumerate(vocab)}
-        sizes = np.array([len(t) for t in texts]) + 1
-        s = np.concatenate([np.array([*map(ids.__getitem__, t), d], np.int64) for d, t in enumerate(texts)])
+        each = [np.fromiter(map(ids.__getitem__, t.split(" ")), np.int32) for t in texts]
+        sizes = np.array([len(e) for e in each]) + 1
+        s = np.concatenate([x for d, e in enumerate(each) for x in (e, np.array([d], np.int32))]).astype(np.int64)
+        del each, ids, known
         doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
         order = _suffix_order(s)
         bwt = s[order - 1]  # the last suffix's predecessor wraps around to the last sign
@@ -269,7 +277,7 @@ def build_index(essays: DataFrame, keys: DataFrame) -> tuple[str, int]:
         shard = table.column(0)[0].as_py()
         order = np.argsort(np.array(table.column(1).to_pylist(), object))
         key, words = table.column(1).to_pylist(), table.column(2).to_pylist()
-        parts = TextIndex.pack([key[i] for i in order], [words[i].split(" ") for i in order])
+        parts = TextIndex.pack([key[i] for i in order], [words[i] for i in order])
         return pa.table({"shard": pa.array([shard] * len(parts), pa.int32()), "part": [p for p, _ in parts], "data": pa.array([d for _, d in parts], pa.binary())})
 
     distinct = _side(essays, True).mapInArrow(texts, "word_key binary, words string").groupBy("word_key").agg(F.first("words").alias("words"))

@@ -60,7 +60,7 @@ def test_empty(spark):
 
 def test_backward_search_counts():
     texts = [w.split() for w in ("a b a b c a b", "b c a b a b a", "x")]
-    index = P.TextIndex.unpack(dict(P.TextIndex.pack([bytes([i]) * 16 for i in range(3)], texts)))
+    index = P.TextIndex.unpack(dict(P.TextIndex.pack([bytes([i]) * 16 for i in range(3)], [" ".join(t) for t in texts])))
     import numpy as np
 
     def count(words):
