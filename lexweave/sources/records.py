@@ -145,6 +145,86 @@ def _parser(dialects: dict[str, tuple[str, bool, list[str]]]):
     return parse
 
 
+def _open_quote(record: str, delim: str) -> bool:
+    """Does the record end inside a quoted field?"""
+    quoted, start = False, True
+    i, n = 0, len(record)
+    while i < n:
+        c = record[i]
+        if quoted:
+            if c == '"':
+                if record[i + 1 : i + 2] == '"':
+                    i += 1
+                else:
+                    quoted = False
+        elif c == '"' and start:
+            quoted = True
+        start = not quoted and c == delim
+        i += 1
+    return quoted
+
+
+#: A quoted field may span at most this many physical lines; beyond, its first line stands alone.
+MAX_SPAN = 100
+
+
+def assemble(lines: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Physical lines of files to records: lines are joined while a quote of a ``double`` feed is open.
+
+    For line-wise sources only, where a record may be cut at a line break inside quotes; a table
+    whose rows are records already goes to ``parse_lines`` as it is. A quote that is not closed
+    within ``MAX_SPAN`` lines (or by the end of the feed) is a fault of its own line: that line
+    becomes a record (which fails in parsing) and reading goes on with the next. The record has
+    the ``line_id`` and ``line_no`` of its first line. Lines stream past in order per feed; no
+    more than ``MAX_SPAN`` of them are held.
+    """
+    rows = feeds.select("feed_id", "delim", "quote_mode").limit(MAX_FEEDS + 1).collect()
+    if len(rows) > MAX_FEEDS:
+        raise ValueError(f"more than {MAX_FEEDS} feed dialects")
+    delims = {r.feed_id: r.delim for r in rows if r.quote_mode == "double" and r.delim}
+    schema = pa.schema([("line_id", pa.int64()), ("feed_id", pa.string()), ("line_no", pa.int64()), ("raw_line", pa.string())])
+
+    def settle(held: list, delim: str | None, final: bool) -> tuple[list, list]:
+        """Records that are complete, and the lines still held."""
+        out = []
+        while held:
+            text, done = "", 0
+            for k, row in enumerate(held):
+                text = row[3] if k == 0 else f"{text}\n{row[3]}"
+                if row[3] is None or delim is None or not _open_quote(text, delim):
+                    done = k + 1
+                    break
+            if done:
+                first = held[0]
+                out.append((first[0], first[1], first[2], text))
+                held = held[done:]
+            elif final or len(held) >= MAX_SPAN:
+                out.append(held[0])
+                held = held[1:]
+            else:
+                break
+        return out, held
+
+    def run(batches):
+        feed, held, fresh = None, [], True
+        for b in batches:
+            out = []
+            for row in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if fresh or row[1] != feed:
+                    out += settle(held, delims.get(feed), True)[0]
+                    feed, held, fresh = row[1], [], False
+                held.append(row)
+                done, held = settle(held, delims.get(feed), False)
+                out += done
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        if out := settle(held, delims.get(feed), True)[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    narrow = lines.select(F.col("line_id").cast("bigint"), "feed_id", F.col("line_no").cast("bigint"), F.col("raw_line").cast("string"))
+    return narrow.repartition("feed_id").sortWithinPartitions("feed_id", "line_no", "line_id").mapInArrow(run, "line_id bigint, feed_id string, line_no bigint, raw_line string")
+
+
 def parse_lines(lines: DataFrame, feeds: DataFrame) -> DataFrame:
     """One row per line: typed fields where it is valid, else ``reason``.
 

@@ -35,3 +35,14 @@ def test_too_many_feeds(spark, monkeypatch):
     feeds = spark.createDataFrame(FEEDS, "feed_id string, delim string, quote_mode string, header_cols array<string>")
     with pytest.raises(ValueError):
         R.parse_lines(spark.createDataFrame([], "line_id long, feed_id string, line_no long, raw_line string"), feeds)
+
+
+def test_assemble(spark, monkeypatch):
+    monkeypatch.setattr(R, "MAX_SPAN", 3)
+    feeds = spark.createDataFrame(FEEDS, "feed_id string, delim string, quote_mode string, header_cols array<string>")
+    text = ["w,3,2,1,1,2", '"a', 'b",3,2,1,1,2', '"never', "x,3,2,1,1,2", "y,3,2,1,1,2", "z,3,2,1,1,2", 'q"q,3,2,1,1,2', '"end']
+    rows = [(i, "d", i, t) for i, t in enumerate(text)] + [(100, "n", 0, '"'), (101, "n", 1, "b"), (102, None, 0, None)]
+    got = R.assemble(spark.createDataFrame(rows, "line_id long, feed_id string, line_no long, raw_line string"), feeds)
+    assert {r.line_id: r.raw_line for r in got.collect()} == {0: text[0], 1: '"a\nb",3,2,1,1,2', 3: '"never', 4: text[4], 5: text[5], 6: text[6], 7: text[7], 8: '"end', 100: '"', 101: "b", 102: None}
+    parsed = {r.line_id: r.reason for r in R.parse_lines(got, feeds).collect()}
+    assert parsed[3] == parsed[8] == "unclosed_quote" and parsed[1] == "bad_word" and parsed[4] is None
