@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -40,12 +41,31 @@ def work_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/lexweave/{what}-{uuid.uuid4().hex}"
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def release() -> None:
+    """Delete the work tables of this process; also done when it ends. Frames that read them are void then."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: the folder's owner cleans up
+            return
+
+
+atexit.register(release)
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and a
     lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
     path = work_path(spark, what)
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
