@@ -65,7 +65,7 @@ _MARKS = {0x200E, 0x200F, 0x061C, *range(0x202A, 0x202F), *range(0x2066, 0x206A)
 def _invisible(cp: int) -> bool:
     if cp in (0x00AD, 0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x3164, 0xFEFF, 0xFFA0):
         return True
-    return 0x200B <= cp <= 0x200F or 0x202A <= cp <= 0x202E or 0x2060 <= cp <= 0x206F or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or cp == 0x061C
+    return 0x200B <= cp <= 0x200F or 0x202A <= cp <= 0x202E or 0x2060 <= cp <= 0x206F or 0xFE00 <= cp <= 0xFE0F or 0xE0000 <= cp <= 0xE007F or 0xE0100 <= cp <= 0xE01EF or cp == 0x061C
 
 
 def _plain(cp: int) -> str | None:
@@ -105,7 +105,7 @@ def _ranges(points) -> str:
 
 
 _NFC_STARTS = [cp for cp in range(0x80, 0x30000) if not 0xD800 <= cp < 0xE000 and (unicodedata.combining(chr(cp)) or not unicodedata.is_normalized("NFC", chr(cp)) or 0x1160 <= cp <= 0x11FF)]
-_HIDDEN = {cp for cp in [*range(0x80, 0x10000), *range(0xE0100, 0xE01F0)] if _invisible(cp)}
+_HIDDEN = {cp for cp in [*range(0x80, 0x10000), *range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0)] if _invisible(cp)}
 #: Any character that may have to change; a text without one is already in the consistent form.
 _SUSPECT = re.compile("[" + _ranges({*_PLAIN, *_HIDDEN, *_NFC_STARTS, *map(ord, LOOKALIKE)}) + "]")
 _COMPOSE = re.compile("[" + _ranges(_NFC_STARTS) + "]")
@@ -203,6 +203,8 @@ def _needed(text: str, i: int) -> bool:
         return bool(before) and bool(_PICTURE.match(before)) and not before.isalpha()
     if 0xE0100 <= cp <= 0xE01EF:
         return bool(before) and "CJK" in unicodedata.name(before, "")
+    if 0xE0000 <= cp <= 0xE007F:  # tags spell out a flag
+        return before == "\U0001f3f4" or (bool(before) and 0xE0020 <= ord(before) <= 0xE007E)
     if cp in _TURNS:
         if before and after and _JOINING.match(before) and _JOINING.match(after):
             return True

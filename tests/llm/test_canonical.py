@@ -7,7 +7,8 @@ CHANGED = {
     "соре": "cope", "trаffiс": "traffic", "weslοn": "weslon", "empirıcal": "empirical", "ɡirl": "girl", "Τhe": "The",
     "one ‎‏toy": "one toy", "x⁠y": "xy", "﻿start": "start", "it’s а cat": "it’s a cat", "ТҺЕ mаp": "THE map",
 }
-KEPT = ["", "plain", "é ñ ß", "x̄", "дружба", "«Край земли» and", "λόγος", "π", "می‌خواهم", "👩‍🏫🎉", "“q” — …", "½ x² № ™", "a\tb\nc",
+CHANGED |= {"tag\U000e0041ged": "tagged", "va\ufe0friation": "variation"}
+KEPT = ["\U0001f3f4\U000e0067\U000e0062\U000e007f", "❤\ufe0f", "", "plain", "é ñ ß", "x̄", "дружба", "«Край земли» and", "λόγος", "π", "می‌خواهم", "👩‍🏫🎉", "“q” — …", "½ x² № ™", "a\tb\nc",
         "Он и она дружба", "/ɡɑːdən/", "Diyarbakır ve İzmir", "angle α", "µm"]
 
 
