@@ -78,11 +78,28 @@ def _nfkc(s):
     return s.map(lambda x: x if x.isascii() else unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-def compatible_texts(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with its text in compatibility form; only non-ASCII texts leave the JVM."""
+def _odd_texts(df: DataFrame, text: str, change) -> DataFrame:
     odd = F.col(text).rlike(r"[^\x00-\x7F]")
     plain = df.filter(F.col(text).isNull() | ~odd)
-    return plain.unionByName(df.filter(odd).withColumn(text, _nfkc(text)))
+    return plain.unionByName(df.filter(odd).withColumn(text, change(text)))
+
+
+def compatible_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with its text in compatibility form; only non-ASCII texts leave the JVM."""
+    return _odd_texts(df, text, _nfkc)
+
+
+@F.pandas_udf(StringType())
+def _nfc(s):
+    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+
+_nfc = _nfc.asNondeterministic()  # else the planner repeats it for every use of the text
+
+
+def composed_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with its text in composed form (NFC); only non-ASCII texts leave the JVM."""
+    return _odd_texts(df, text, _nfc)
 
 
 def exposure_text(c: Column | str) -> Column:

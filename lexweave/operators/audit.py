@@ -54,25 +54,35 @@ def combined_audit(essays: DataFrame) -> DataFrame:
     ) for a, b in pairs))))
 
 
-def normal_text(c: str = "text") -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+#: Unicode whitespace, as Python splits at it.
+SPACES = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
-def exact_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, class_id, n_copies`` by hash of the lower-cased text with single spaces; null and blank texts have no class."""
-    h = docs.select(key, normal_text(text).alias("n")).filter("n <> ''").select(key, F.sha2("n", 256).alias("h"))
+def normal_text(c: str = "text", spaces: str = SPACES) -> Column:
+    return F.trim(F.regexp_replace(F.lower(c), spaces, " "))
+
+
+def exact_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", unicode: bool = True) -> DataFrame:
+    """``key, class_id, n_copies`` by hash of the text in composed form (NFC), lower case and with single spaces for
+    Unicode whitespace; null and blank texts have no class.
+
+    Without ``unicode`` texts are not composed and only ASCII whitespace counts, as in the SQL of the older queries.
+    """
+    docs = T.composed_texts(docs.select(key, text), text) if unicode else docs
+    h = docs.select(key, normal_text(text, SPACES if unicode else r"\s+").alias("n")).filter("n <> ''").select(key, F.sha2("n", 256).alias("h"))
     c = h.groupBy("h").agg(F.min(key).alias("class_id"), F.count("*").alias("n_copies"))
     return h.join(c, "h").select(key, "class_id", "n_copies")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.85, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.85, size: int = 5, key: str = "doc_id", text: str = "text", unicode: bool = True) -> DataFrame:
     """Pairs of class representatives ``doc_a, doc_b, shared, united, resemblance`` by word shingles; with
-    ``exact_classes`` as membership this covers all copies.
+    ``exact_classes`` of the same ``unicode`` as membership this covers all copies.
 
     Prefix filter: two sets of the resemblance share one of each other's rarest shingles, so only
     as many of those as the threshold can spare (and one) are joined; common shingles never meet.
     """
-    classes = exact_classes(docs, key, text)
+    docs = T.composed_texts(docs.select(key, text), text) if unicode else docs
+    classes = exact_classes(docs, key, text, unicode)
     reps = docs.join(classes.filter(F.col(key) == F.col("class_id")).select(key), key, "left_semi").dropDuplicates([key])
     words = reps.select(key, T.token_array(text).alias("t")).filter(F.size("t") >= size)
     sh = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("t") - size), lambda i: F.xxhash64(F.slice("t", i + 1, F.lit(size)))))

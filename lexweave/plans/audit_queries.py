@@ -37,7 +37,7 @@ _CLASS = "cl AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY n) AS class_id, c
 
 @R.query(f"WITH {_CLASS} SELECT doc_id, class_id, n_copies::BIGINT AS n_copies FROM cl")
 def exact_duplicates(spark, sf):
-    return A.exact_classes(table(spark, sf, "documents"))
+    return A.exact_classes(table(spark, sf, "documents"), unicode=False)
 
 
 _NEAR = with_toks(f"""WITH {_CLASS}, sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, pos, token || ' ' || lead(token, 1) OVER w || ' ' || lead(token, 2) OVER w || ' ' || lead(token, 3) OVER w || ' ' || lead(token, 4) OVER w AS s
@@ -48,15 +48,40 @@ _NEAR = with_toks(f"""WITH {_CLASS}, sh AS (SELECT DISTINCT doc_id, s FROM (SELE
 
 @R.query(_NEAR)
 def near_duplicates_5gram(spark, sf):
-    return rounded(A.near_duplicates(table(spark, sf, "documents")))
+    return rounded(A.near_duplicates(table(spark, sf, "documents"), unicode=False))
 
 
 _ESSAYS = "WITH es AS (SELECT essay_row AS doc_id, full_text AS text FROM essays), " + _NEAR.removeprefix("WITH ").replace("documents", "es")
 
 
+def _essay_texts(spark, sf):
+    return table(spark, sf, "essays").select(F.col("essay_row").alias("doc_id"), F.col("full_text").alias("text"))
+
+
 @R.query(_ESSAYS)
 def near_duplicate_essays(spark, sf):
-    return rounded(A.near_duplicates(table(spark, sf, "essays").select(F.col("essay_row").alias("doc_id"), F.col("full_text").alias("text"))))
+    return rounded(A.near_duplicates(_essay_texts(spark, sf), unicode=False))
+
+
+# The same on texts in composed form (NFC) with Unicode whitespace collapsed.
+_NFC_CLASS = "cl AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY n) AS class_id, count(*) OVER (PARTITION BY n) AS n_copies FROM (SELECT doc_id, trim(regexp_replace(lower(nfc_normalize(text)), '" + A.SPACES + "', ' ', 'g')) AS n FROM documents) WHERE n <> '')"
+_NFC_NEAR = _NEAR.replace(_CLASS, _NFC_CLASS).replace("regexp_extract_all(text,", "regexp_extract_all(nfc_normalize(text),")
+_of_essays = lambda sql: "WITH es AS (SELECT essay_row AS doc_id, full_text AS text FROM essays), " + sql.removeprefix("WITH ").replace("documents", "es")
+
+
+@R.query(f"WITH {_NFC_CLASS} SELECT doc_id, class_id, n_copies::BIGINT AS n_copies FROM cl")
+def exact_duplicates_nfc(spark, sf):
+    return A.exact_classes(table(spark, sf, "documents"))
+
+
+@R.query(_NFC_NEAR)
+def near_duplicates_5gram_nfc(spark, sf):
+    return rounded(A.near_duplicates(table(spark, sf, "documents")))
+
+
+@R.query(_of_essays(_NFC_NEAR))
+def near_duplicate_essays_nfc(spark, sf):
+    return rounded(A.near_duplicates(_essay_texts(spark, sf)))
 
 
 _G = "{'s': 0::DOUBLE, 'at': -1::DOUBLE, 'bl': 0::DOUBLE, 'f': 0, 'a': 0, 'ok': 0, 'db': 0, 'dc': 0, 't': 0::DOUBLE, 'd': 0, 'r': 0}"

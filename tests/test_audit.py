@@ -34,6 +34,17 @@ def test_near_duplicates(spark):
     assert A.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_duplicates_in_composed_form(spark):
+    word = [f"w{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    text = " ".join(word[:20] + ["caf\u00e9"] + word[20:])
+    rows = [(0, text), (1, text.replace("\u00e9", "e\u0301")), (2, text.replace(" ", "\u00a0", 3).replace(" ", "\u2003\r\n", 1) + "\u3000"), (3, "\u00a0\u2028"), (4, text.replace("\u00e9", "e\u0301") + " end"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.class_id, r.n_copies) for r in A.exact_classes(df).collect()} == {(0, 0, 3), (1, 0, 3), (2, 0, 3), (4, 4, 1)}
+    # one shingle more at the end; the accent changes none
+    assert [(r.doc_a, r.doc_b, r.shared + 1) for r in A.near_duplicates(df).collect()] == [(0, 4, r.united) for r in A.near_duplicates(df).collect()]
+    assert A.near_duplicates(df).count() == 1
+
+
 def test_guard_rules(spark):
     c = U.GuardConfig()
     b, said, _ = U.request(None, 0.0, 200, True, c)
