@@ -63,6 +63,12 @@ def near_duplicate_essays(spark, sf):
     return rounded(A.near_duplicates(_essay_texts(spark, sf), unicode=False))
 
 
+@R.query("WITH es AS (SELECT essay_row AS doc_id, full_text AS text FROM essays), " + _CLASS.replace("documents", "es") + " SELECT doc_id, class_id, n_copies::BIGINT AS n_copies FROM cl")
+def exact_duplicate_essays(spark, sf):
+    """The class of every essay; its representatives are those of ``near_duplicate_essays``."""
+    return A.exact_classes(_essay_texts(spark, sf), unicode=False)
+
+
 # The same on texts in composed form (NFC) with Unicode whitespace collapsed.
 _NFC_CLASS = "cl AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY n) AS class_id, count(*) OVER (PARTITION BY n) AS n_copies FROM (SELECT doc_id, trim(regexp_replace(lower(nfc_normalize(text)), '" + A.SPACES + "', ' ', 'g')) AS n FROM documents) WHERE n <> '')"
 _NFC_NEAR = _NEAR.replace(_CLASS, _NFC_CLASS).replace("regexp_extract_all(text,", "regexp_extract_all(nfc_normalize(text),")
@@ -79,6 +85,12 @@ def near_duplicates_5gram_nfc(spark, sf):
     return rounded(A.near_duplicates(table(spark, sf, "documents")))
 
 
+@R.query(_of_essays(f"WITH {_NFC_CLASS} SELECT doc_id, class_id, n_copies::BIGINT AS n_copies FROM cl"))
+def exact_duplicate_essays_nfc(spark, sf):
+    """The class of every essay; its representatives are those of ``near_duplicate_essays_nfc``."""
+    return A.exact_classes(_essay_texts(spark, sf))
+
+
 @R.query(_of_essays(_NFC_NEAR))
 def near_duplicate_essays_nfc(spark, sf):
     return rounded(A.near_duplicates(_essay_texts(spark, sf)))

@@ -45,6 +45,20 @@ def test_duplicates_in_composed_form(spark):
     assert A.near_duplicates(df).count() == 1
 
 
+def test_every_essay_has_a_class(spark, tmp_path):
+    from lexweave.plans import catalog
+
+    text = " ".join(f"w{a}{b}" for a in "abcdefgh" for b in "abcdefgh")
+    rows = [(0, text), (1, text.upper()), (2, text + " caf\u00e9"), (3, text + "\u00a0cafe\u0301"), (4, " "), (5, None)]
+    spark.createDataFrame(rows, "essay_row long, full_text string").write.parquet(str(tmp_path / "essays.parquet"))
+    q = catalog.queries()
+    for form, want in (("", {0: 0, 1: 0, 2: 2, 3: 3}), ("_nfc", {0: 0, 1: 0, 2: 2, 3: 2})):
+        got = {r.doc_id: (r.class_id, r.n_copies) for r in q[f"exact_duplicate_essays{form}"](spark, str(tmp_path)).collect()}
+        assert got == {d: (c, list(want.values()).count(c)) for d, c in want.items()}
+        ends = {x for r in q[f"near_duplicate_essays{form}"](spark, str(tmp_path)).collect() for x in (r.doc_a, r.doc_b)}
+        assert 0 in ends and ends <= set(want.values())
+
+
 def test_guard_rules(spark):
     c = U.GuardConfig()
     b, said, _ = U.request(None, 0.0, 200, True, c)
