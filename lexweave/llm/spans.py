@@ -190,32 +190,102 @@ class FingerprintLog:
             self.runs = [self._write(self.history().groupBy("fp", "sha").agg(F.min("rep").alias("rep")))]
 
 
-def shared_spans(a: str, b: str, min_len: int) -> list[tuple[int, int, int]]:
-    """Maximal equal stretches (start in a, start in b, length), each place of ``a`` once."""
-    x, y = codes(a), codes(b)
-    if len(x) < min_len or len(y) < min_len:
-        return []
-    hx, hy = gram_hashes(x, min_len), gram_hashes(y, min_len)
+def _runs(a: str, b: str, hx: np.ndarray, hy: np.ndarray, min_len: int) -> tuple[list[tuple[int, int, int]], bool]:
+    """Equal stretches (start in a, start in b, length) that hold each shared place of ``a`` once, at its first
+    place in ``b``; and whether no shared place occurs twice in either text, so that these are all there are."""
     order = np.argsort(hy, kind="stable")
-    at = np.minimum(np.searchsorted(hy[order], hx), len(hy) - 1)
-    i = np.flatnonzero(hy[order][at] == hx)
+    sorted_y = hy[order]
+    at = np.minimum(np.searchsorted(sorted_y, hx), len(hy) - 1)
+    i = np.flatnonzero(sorted_y[at] == hx)
     if not len(i):
-        return []
-    j = order[at[i]]
+        return [], True
+    at = at[i]
+    j = order[at]
+    again = np.minimum(at + 1, len(hy) - 1)
+    single = len(np.unique(j)) == len(j) and not ((again > at) & (sorted_y[again] == hx[i])).any()
     cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1
     spans = []
     for s, e in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(i)]])):
         n = int(i[e - 1] - i[s]) + min_len
         if a[i[s] : i[s] + n] == b[j[s] : j[s] + n]:
             spans.append((int(i[s]), int(j[s]), n))
-    return spans
+    return spans, single
+
+
+def _unlike(x: np.ndarray, y: np.ndarray, near_x: np.ndarray, near_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places (i, j) of equal ids in x and y whose neighbours differ: the ends of the equal runs.
+
+    Only groups of one id with unlike neighbours are crossed, so the work is that of the output."""
+    places, ids, near = np.concatenate([np.arange(len(x)), np.arange(len(y))]), np.concatenate([x, y]), np.concatenate([near_x, near_y])
+    side = np.repeat([0, 1], [len(x), len(y)])
+    order = np.lexsort((near, side, ids))
+    places, ids, near, side = places[order], ids[order], near[order], side[order]
+    start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    end = np.concatenate([start[1:], [len(ids)]])
+    most, least, right = (f.reduceat(v, start) for f, v in ((np.maximum, near), (np.minimum, near), (np.add, side)))
+    left, out = end - start - right, []
+    for g in np.flatnonzero((most != least) & (left > 0) & (right > 0)):
+        m = start[g] + left[g]
+        px, nx, py, ny = places[start[g] : m], near[start[g] : m], places[m : end[g]], near[m : end[g]]
+        edge = np.flatnonzero(np.concatenate([[True], nx[1:] != nx[:-1], [True]]))
+        for s, e in zip(edge[:-1], edge[1:]):
+            to = py[ny != nx[s]]
+            out.append((np.repeat(px[s:e], len(to)), np.tile(to, e - s)))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def _all_runs(a: str, b: str, hx: np.ndarray, hy: np.ndarray, min_len: int) -> list[tuple[int, int, int]]:
+    """Every maximal equal stretch, whatever else its places share: first and last places are paired by diagonal."""
+    ids = np.unique(np.concatenate([hx, hy]), return_inverse=True)[1].astype(np.int64)
+    x, y = ids[: len(hx)], ids[len(hx) :]
+    shift = lambda v, none, back: np.concatenate([[none], v[:-1]] if back else [v[1:], [none]])
+    first, last = (_unlike(x, y, shift(x, -1, back), shift(y, -2, back)) for back in (True, False))
+    first, last = ((i[o], j[o]) for i, j in (first, last) for o in (np.lexsort((i, i - j)),))
+    n = last[0] - first[0] + min_len
+    order = np.lexsort((first[1], first[0]))
+    found = zip(first[0][order].tolist(), first[1][order].tolist(), n[order].tolist())
+    return [(i, j, k) for i, j, k in found if a[i : i + k] == b[j : j + k]]
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Covered places of (start, length) as disjoint (start, end)."""
+    out: list[tuple[int, int]] = []
+    for s, n in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], s + n))
+        else:
+            out.append((s, s + n))
+    return out
+
+
+def shared_parts(a: str, b: str, min_len: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
+    """Maximal equal stretches (start in a, start in b, length), one per pair of occurrences; the covered places
+    (start, end) of a and of b."""
+    x, y = codes(a), codes(b)
+    if len(x) < min_len or len(y) < min_len:
+        return [], [], []
+    hx, hy = gram_hashes(x, min_len), gram_hashes(y, min_len)
+    spans, single = _runs(a, b, hx, hy, min_len)
+    back = [(j, n) for _, j, n in spans]
+    cover = [(i, n) for i, _, n in spans]
+    if not single:
+        back = [(j, n) for j, _, n in _runs(b, a, hy, hx, min_len)[0]]
+        spans = _all_runs(a, b, hx, hy, min_len)
+    return spans, _merged(cover), _merged(back)
 
 
-_SPAN = "sha_a binary, sha_b binary, rep_a bigint, rep_b bigint, spans array<struct<start_a:bigint,start_b:bigint,len:bigint>>"
+def shared_spans(a: str, b: str, min_len: int) -> list[tuple[int, int, int]]:
+    """Maximal equal stretches (start in a, start in b, length), one per pair of occurrences."""
+    return shared_parts(a, b, min_len)[0]
+
+
+_SPAN = "sha_a binary, sha_b binary, rep_a bigint, rep_b bigint, spans array<struct<start_a:bigint,start_b:bigint,len:bigint>>, cover_a array<struct<s:bigint,e:bigint>>, cover_b array<struct<s:bigint,e:bigint>>"
 
 
 def verified(candidates: DataFrame, docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
-    """Candidate class pairs with their exact shared spans; pairs without one are gone."""
+    """Candidate class pairs with their exact shared spans and covered places; pairs without one are gone."""
     pairs = materialize(candidates, "candidates")
     ids = pairs.select(F.col("rep_a").alias("doc_id")).union(pairs.select("rep_b")).distinct()
     texts = materialize(eligible(docs, min_len).join(small_or_not(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
@@ -223,16 +293,17 @@ def verified(candidates: DataFrame, docs: DataFrame, min_len: int = MIN_LEN) ->
         texts.select(F.col("doc_id").alias("rep_b"), F.col("text").alias("text_b")), "rep_b"
     )
     kind = pa.list_(pa.struct([("start_a", pa.int64()), ("start_b", pa.int64()), ("len", pa.int64())]))
-    schema = pa.schema([("sha_a", pa.binary()), ("sha_b", pa.binary()), ("rep_a", pa.int64()), ("rep_b", pa.int64()), ("spans", kind)])
+    cover = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+    schema = pa.schema([("sha_a", pa.binary()), ("sha_b", pa.binary()), ("rep_a", pa.int64()), ("rep_b", pa.int64()), ("spans", kind), ("cover_a", cover), ("cover_b", cover)])
 
     def run(batches):
         for b in batches:
             rows = []
             for at in range(b.num_rows):
                 sha_a, sha_b, rep_a, rep_b = (b.column(i)[at].as_py() for i in range(4))
-                s = shared_spans(b.column(4)[at].as_py(), b.column(5)[at].as_py(), min_len)
+                s, in_a, in_b = shared_parts(b.column(4)[at].as_py(), b.column(5)[at].as_py(), min_len)
                 if s:
-                    rows.append((sha_a, sha_b, rep_a, rep_b, [dict(zip(("start_a", "start_b", "len"), x)) for x in s]))
+                    rows.append((sha_a, sha_b, rep_a, rep_b, [dict(zip(("start_a", "start_b", "len"), x)) for x in s], *([dict(zip("se", x)) for x in c] for c in (in_a, in_b))))
             if rows:
                 yield record_batch(schema, list(zip(*rows)))
 
@@ -293,10 +364,7 @@ def coverage(pairs: DataFrame, docs: DataFrame, min_len: int = MIN_LEN) -> DataF
     """
     m = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     m = m.select("doc_id", _sha().alias("sha"), F.length("text").cast("bigint").alias("n_chars")).dropDuplicates(["doc_id"])
-    sides = pairs.select("sha_a", "sha_b", F.inline("spans"))
-    one = sides.select(F.col("sha_a").alias("sha"), F.col("sha_b").alias("other"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("len")).alias("e")).union(
-        sides.select("sha_b", "sha_a", "start_b", F.col("start_b") + F.col("len"))
-    )
+    one = pairs.select(F.col("sha_a").alias("sha"), F.col("sha_b").alias("other"), F.inline("cover_a")).union(pairs.select("sha_b", "sha_a", F.inline("cover_b")))
     before = Window.partitionBy("sha").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     gain = F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s"), F.coalesce(F.max("e").over(before), F.col("s"))))
     part = one.distinct().withColumn("gain", gain).groupBy("sha").agg(F.sum("gain").alias("part"), F.countDistinct("other").alias("n_links"))

@@ -41,6 +41,47 @@ def test_pairs_are_exact(spark, monkeypatch, batches, hot):
     assert cov[25].shared_chars == 700 and cov[25].n_copies == 2 and cov[24].shared_chars == 400 and cov[0].shared_chars == 0
 
 
+def brute_stretches(a, b, n):
+    out = []
+    for i in range(len(a) - n + 1):
+        for j in range(len(b) - n + 1):
+            if a[i : i + n] == b[j : j + n] and (not i or not j or a[i - 1] != b[j - 1]):
+                k = n
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                    k += 1
+                out.append((i, j, k))
+    return out
+
+
+def test_all_occurrences():
+    r = random.Random(5)
+    p = "".join(r.choices("abcd", k=30))
+    some = [p + "1" + p, p, p[:20] + "x" + p + "y" + p[5:], "z" * 40, "z" * 25 + p + p, p * 3, p[:25] + p + p[3:], ""]
+    some += ["".join(r.choices("ab", k=r.randint(0, 60))) for _ in range(30)]
+    for n in (4, 12):
+        for a in some:
+            for b in some:
+                assert sorted(S.shared_spans(a, b, n)) == brute_stretches(a, b, n)
+
+
+def test_coverage_of_repeated_stretches(spark):
+    r = random.Random(8)
+    make = lambda k: "".join(r.choices("abcdefgh é😀", k=k))
+    p, q = make(450), make(600)
+    texts = [make(30) + p + make(20), p + make(50) + p + make(9) + p, q[:420] + make(5) + q, q + make(3) + q + make(3) + q[100:], make(500), make(3) + "v" * 450, "v" * 900 + make(4)]
+    for rows in (list(enumerate(texts)), list(enumerate(t[::-1] for t in texts))):
+        df = spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, ingested_at timestamp")
+        pairs = S.index_batches(df, 1).cache()
+        want = {}
+        for d, t in rows:
+            grams = {o[i : i + 400] for e, o in rows if e != d for i in range(len(o) - 399)}
+            want[d] = len({k for i in range(len(t) - 399) if t[i : i + 400] in grams for k in range(i, i + 400)})
+        assert {c.doc_id: c.shared_chars for c in S.coverage(pairs, df).collect()} == want
+        listed = {(x.rep_a, x.rep_b, x.start_a, x.start_b, x.len) for x in S.stretches(pairs).collect()}
+        ends = {tuple(x) for x in pairs.select("rep_a", "rep_b").collect()}
+        assert listed == {(a, b, *s) for a, b in ends for s in brute_stretches(rows[a][1], rows[b][1], 400)} and len(ends) == 3
+
+
 def test_window_guarantee():
     r = np.random.default_rng(0)
     base = r.integers(97, 123, 400).astype(np.uint32)
