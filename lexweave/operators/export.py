@@ -114,18 +114,26 @@ def write_artifact(df: DataFrame, path: str, order: list[str], single_file: bool
     out.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
 
 
+#: Rows of a sheet below its header.
+SHEET_ROWS = 1_048_575
+
+
 def sheets(tables: dict[str, DataFrame], path: str | None = None) -> dict[str, DataFrame]:
-    """The sheets of a workbook as frames, checked; written as an XLSX file only where the writer is installed."""
+    """The sheets of a workbook as frames, checked; written as an XLSX file only where the writer is installed.
+    A table that does not fit a sheet is an error: nothing is written, and no row is left out."""
     for t in tables.values():
         assert_private(t)
     if path is not None:
         import importlib.util
 
+        for name, t in tables.items():
+            if t.limit(SHEET_ROWS + 1).count() > SHEET_ROWS:
+                raise ValueError(f"table {name} has more than {SHEET_ROWS} rows and does not fit a sheet; use the frames")
         if importlib.util.find_spec("openpyxl") is None:
             raise RuntimeError("openpyxl is not installed; use the frames")
         import pandas as pd
 
         with pd.ExcelWriter(path) as w:
             for name, t in tables.items():
-                t.limit(1_048_575).toPandas().to_excel(w, sheet_name=name[:31], index=False)
+                t.toPandas().to_excel(w, sheet_name=name[:31], index=False)
     return tables

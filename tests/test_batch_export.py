@@ -51,6 +51,13 @@ def test_payload_and_privacy(spark):
     assert a == b and a.fingerprint != E.fingerprint(df).first().fingerprint
 
 
+def test_sheet_is_never_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(E, "SHEET_ROWS", 2, raising=False)
+    with pytest.raises(ValueError, match="does not fit"):
+        E.sheets({"few": spark.range(2), "many": spark.range(3)}, str(tmp_path / "x.xlsx"))
+    assert not (tmp_path / "x.xlsx").exists() and E.sheets({"many": spark.range(3)})["many"].count() == 3
+
+
 def test_artifact(spark, tmp_path):
     df = spark.createDataFrame([(2, "b"), (1, "a")], "i int, w string")
     E.write_artifact(df, str(tmp_path / "x"), ["i"], single_file=True)
