@@ -85,9 +85,7 @@ _ENGLISH = frozenset(ENGLISH)
 
 def foreign(text: str, lang: str | None) -> bool:
     """Is the text mostly in another language? Judged by function words, then letters, then the label."""
-    words = text.lower().split()
-    if not text.isascii() or len(words) < 2000:
-        words = [w.strip(".,;:!?\"'()[]«»“”") for w in words]
+    words = [w.strip(".,;:!?\"'()[]«»“”") for w in text.lower().split()]
     en = sum(w in _ENGLISH for w in words)
     other = max(sum(w in s for w in words) for s in _OTHER_WORDS)
     if en + other >= 3 or other > en:

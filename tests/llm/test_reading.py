@@ -37,6 +37,12 @@ def test_levels(spark):
     assert G.held_out(d, y, lex)["pair_accuracy"] > 0.8
 
 
+def test_foreign_at_any_length():
+    for n in (5, 1000):
+        assert G.foreign("Hund, und, die, der. " * n, "en")
+        assert not G.foreign("dog, and, the, of. " * n, "de")
+
+
 def test_without_labels(spark):
     d = spark.createDataFrame([(1, "the cat sat", "en")], "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, rater_id string, reading_band int")
