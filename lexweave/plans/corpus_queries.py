@@ -104,6 +104,6 @@ def contextual_diversity(spark, sf):
 
 @R.query()
 def bootstrap_ci(spark, sf):
-    """Words of the first band of the rank list."""
-    words = table(spark, sf, "rank_list").filter("band = 1").select(F.col("form").alias("token"))
+    """All words of the rank list."""
+    words = table(spark, sf, "rank_list").select(F.col("form").alias("token"))
     return rounded(C.bootstrap(parted(spark, sf), words, "register"))

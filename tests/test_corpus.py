@@ -41,3 +41,12 @@ def test_bootstrap_is_repeatable(spark):
     w = spark.createDataFrame([("a",)], "token string")
     a, b = (C.bootstrap(t.repartition(k), w, "reg", rounds=40).first() for k in (1, 5))
     assert a == b and a.range_pct_low <= 100 <= a.range_pct_high + 1e-9 and 0 <= a.dkl_low <= a.dkl_high
+
+
+def test_bootstrap_of_the_whole_list(spark, tmp_path):
+    from lexweave.plans import catalog
+
+    docs = [(i, "the cat sat on " + ("a mat" if i % 2 else "it"), "s", "g" if i % 3 else None) for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, genre_id string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("the", 1), ("cat", 2), ("mat", 9), ("dog", 1)], "form string, band int").write.parquet(str(tmp_path / "rank_list.parquet"))
+    assert {r.token for r in catalog.queries()["bootstrap_ci"](spark, str(tmp_path)).collect()} == {"the", "cat", "mat"}
