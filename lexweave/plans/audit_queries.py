@@ -96,25 +96,36 @@ def near_duplicate_essays_nfc(spark, sf):
     return rounded(A.near_duplicates(_essay_texts(spark, sf)))
 
 
-_G = "{'s': 0::DOUBLE, 'at': -1::DOUBLE, 'bl': 0::DOUBLE, 'f': 0, 'a': 0, 'ok': 0, 'db': 0, 'dc': 0, 't': 0::DOUBLE, 'd': 0, 'r': 0}"
-_NOW = "CASE WHEN x.t > a.at THEN least(200, a.s + CASE WHEN a.at < 0 THEN 200 ELSE (x.t - a.at) / 30 END) ELSE a.s END"
-_COST = "greatest(x.d, 20)"
+# The schedule of a session as a fold: clock, full_at, rest_until, counts, and what was said so far (o).
+_NOW, _LATE = "greatest(a.clk, x.t)", "(greatest(0, a.fu - greatest(a.clk, x.t)) + 30000000 * greatest(x.d, 20))"
+_RUN = "CASE x.r WHEN 1 THEN 0 WHEN 0 THEN a.f + 1 ELSE a.f END"
 
 
-@R.query(f"""WITH one AS (SELECT session_key, ts, documents, success, min(request_id) AS id FROM guard_requests GROUP BY ALL),
- q AS (SELECT session_key, list({{'s': 0::DOUBLE, 'at': 0::DOUBLE, 'bl': 0::DOUBLE, 'f': 0, 'a': 0, 'ok': 0, 'db': 0, 'dc': 0, 't': epoch_us(ts) / 1e6::DOUBLE, 'd': documents, 'r': CASE WHEN success THEN 1 WHEN NOT success THEN 0 ELSE 2 END}} ORDER BY ts, id) AS l FROM one WHERE session_key IS NOT NULL AND documents BETWEEN 1 AND 200 GROUP BY 1),
- z AS (SELECT session_key, list_reduce(l, lambda a, x: CASE WHEN a.bl > x.t THEN {{'s': {_NOW}, 'at': greatest(a.at, x.t), 'bl': a.bl, 'f': a.f, 'a': a.a, 'ok': a.ok, 'db': a.db, 'dc': a.dc + 1, 't': x.t, 'd': x.d, 'r': x.r}}
-  WHEN ({_NOW}) + 1e-12 < {_COST} THEN {{'s': {_NOW}, 'at': greatest(a.at, x.t), 'bl': a.bl, 'f': a.f, 'a': a.a, 'ok': a.ok, 'db': a.db + 1, 'dc': a.dc, 't': x.t, 'd': x.d, 'r': x.r}}
-  ELSE {{'s': greatest(0, ({_NOW}) - {_COST}), 'at': greatest(a.at, x.t), 'bl': CASE WHEN x.r = 0 AND a.f + 1 >= 3 THEN greatest(a.bl, x.t + 120) ELSE a.bl END, 'f': CASE x.r WHEN 1 THEN 0 WHEN 0 THEN a.f + 1 ELSE a.f END, 'a': a.a + 1, 'ok': a.ok + (x.r = 1)::INT, 'db': a.db, 'dc': a.dc, 't': x.t, 'd': x.d, 'r': x.r}} END, {_G}) AS e FROM q)
- SELECT session_key, e.a::INT AS attempts, e.ok::INT AS successes, e.db::BIGINT AS over_budget, e.dc::BIGINT AS in_cooldown FROM z""")
+def _state(clk="a.clk", fu="a.fu", re="a.re", n="a.n", ok="a.ok", f="a.f", said="", wait="0"):
+    out = f"{{'id': x.id, 'said': '{said}', 'wait': ({wait})::BIGINT, 'owed': greatest(0, ({fu}) - ({clk}))::BIGINT, 'n': {n}, 'ok': {ok}, 'f': {f}}}"
+    return f"{{'clk': {clk}, 'fu': {fu}, 're': {re}, 'n': {n}, 'ok': {ok}, 'f': {f}, 'id': x.id, 't': x.t, 'd': x.d, 'r': x.r, 'o': list_append(a.o, {out})}}"
+
+
+_ZERO = "{'clk': -4000000000000000000::BIGINT, 'fu': -4000000000000000000::BIGINT, 're': 0::BIGINT, 'n': 0, 'ok': 0, 'f': 0, 'id': %s::BIGINT, 't': %s::BIGINT, 'd': %s::INT, 'r': %s, 'o': []::STRUCT(id BIGINT, said VARCHAR, wait BIGINT, owed BIGINT, n INT, ok INT, f INT)[]}"
+_FOLDED = f"""WITH one AS (SELECT session_key, ts, documents, success, min(request_id) AS id FROM guard_requests GROUP BY ALL),
+ q AS (SELECT session_key, list({_ZERO % ('id', 'coalesce(epoch_us(ts), 0)', 'documents', 'CASE WHEN success THEN 1 WHEN NOT success THEN 0 ELSE 2 END')} ORDER BY coalesce(epoch_us(ts), 0), id) AS l FROM one WHERE session_key IS NOT NULL GROUP BY 1),
+ z AS (SELECT session_key, unnest(list_reduce(l, lambda a, x: CASE WHEN coalesce(x.d, 0) < 1 THEN {_state(said='invalid')} WHEN x.d > 200 THEN {_state(said='over_capacity')}
+  WHEN x.t < a.re THEN {_state(clk=_NOW, said='cooldown', wait='greatest(1, (a.re - x.t + 999999) // 1000000)')}
+  WHEN {_LATE} > 6000000000 THEN {_state(clk=_NOW, said='budget', wait=f'greatest(1, ({_LATE} - 6000000000 + 999999) // 1000000)')}
+  ELSE {_state(clk=_NOW, fu=f'{_NOW} + {_LATE}', re=f'CASE WHEN x.r = 0 AND a.f + 1 >= 3 THEN greatest(a.re, x.t + 120000000) ELSE a.re END', n='a.n + 1', ok='a.ok + (x.r = 1)::INT', f=_RUN, said='allowed')} END, {_ZERO % (0, 0, 0, 0)}).o) AS e FROM q)"""
+
+
+@R.query(_FOLDED + """ SELECT session_key, max(e.n)::INT AS attempts, max(e.ok)::INT AS successes, count(*) FILTER (e.said = 'budget')::BIGINT AS over_budget, count(*) FILTER (e.said = 'cooldown')::BIGINT AS in_cooldown
+ FROM z WHERE e.said NOT IN ('invalid', 'over_capacity') GROUP BY 1""")
 def query_guard(spark, sf):
     d = U.decisions(U.once(table(spark, sf, "guard_requests"))).filter("session_key is not null and decision not in ('invalid', 'over_capacity')")
     return d.groupBy("session_key").agg(F.max("attempts").alias("attempts"), F.max("successes").alias("successes"), F.count(F.when(F.col("decision") == "budget", 1)).alias("over_budget"), F.count(F.when(F.col("decision") == "cooldown", 1)).alias("in_cooldown"))
 
 
-@R.query()
+@R.query(_FOLDED + """ SELECT e.id AS request_id, session_key, e.said AS decision, e.wait::INT AS retry_after, round(200 - e.owed / 3e7, 6) AS credits, e.n::INT AS attempts, e.ok::INT AS successes, e.f::INT AS failed FROM z
+ UNION ALL SELECT id, NULL, 'no_session', 0, 200.0, 0, 0, 0 FROM one WHERE session_key IS NULL""")
 def guard_decisions(spark, sf):
-    return rounded(U.decisions(U.once(table(spark, sf, "guard_requests"))))
+    return rounded(U.decisions(U.once(table(spark, sf, "guard_requests"))).drop("at", "too_short"))
 
 
 @R.query()

@@ -60,22 +60,24 @@ def test_every_essay_has_a_class(spark, tmp_path):
 
 
 def test_guard_rules(spark):
-    c = U.GuardConfig()
-    b, said, _ = U.request(None, 0.0, 200, True, c)
-    assert said == "allowed" and b.credits == 0
-    assert U.request(b, 30.0, 1, True, c)[1:] == ("budget", 570)
-    assert U.request(b, 600.0, 1, True, c)[1] == "allowed"
-    b = None
+    c, sec = U.GuardConfig(), U.SECOND
+    s, said, _ = U.request(None, 0, 200, True, c)
+    assert said == "allowed" and U.shown(s, c)["credits"] == 0
+    assert U.request(s, 30 * sec, 1, True, c)[1:] == ("budget", 570)
+    assert U.request(s, 30 * sec + 1, 1, True, c)[1:] == ("budget", 570) and U.request(s, 31 * sec, 1, True, c)[1:] == ("budget", 569)
+    assert U.request(s, 600 * sec - 1, 1, True, c)[1:] == ("budget", 1)
+    assert U.request(s, 600 * sec, 1, True, c)[1] == "allowed"
+    s = None
     for t in range(3):
-        b, said, _ = U.request(b, float(t), 1, False, c)
-    assert b.blocked == 122.0 and U.request(b, 3.0, 1, True, c)[1:] == ("cooldown", 119)
-    assert U.request(b, 122.0, 1, True, c)[1] == "allowed"
-    assert U.request(None, 0.0, 0, True, c)[1] == "invalid" and U.request(None, 0.0, 201, True, c)[1] == "over_capacity"
-    back, _, _ = U.request(U.Budget(10.0, 50.0), 10.0, 1, True, c)
-    assert back.credits == 10.0 and back.at == 50.0
-    for bad in ({"capacity": 0}, {"least_cost": 300}, {"cooldown": 0.0}):
+        s, said, _ = U.request(s, t * sec, 1, False, c, too_short=2)
+    assert s.rest_until == 122 * sec and s.too_short == 6 and U.request(s, 3 * sec, 1, True, c)[1:] == ("cooldown", 119)
+    assert U.request(s, 122 * sec, 1, True, c)[1] == "allowed"
+    assert U.request(None, 0, 0, True, c)[1] == "invalid" and U.request(None, 0, None, True, c)[1] == "invalid" and U.request(None, 0, 201, True, c)[1] == "over_capacity"
+    back, _, _ = U.request(U.Schedule(50 * sec, 50 * sec + 190 * 30 * sec), 10 * sec, 1, True, c)
+    assert U.shown(back, c)["credits"] == 10.0 and back.clock == 50 * sec
+    for bad in ({"capacity": 0}, {"least_cost": 300}, {"cooldown": 0.0}, {"seconds_per_credit": float("nan")}):
         with pytest.raises(ValueError):
-            U.GuardConfig(**bad)
+            U.decisions(None, U.GuardConfig(**bad))
 
 
 def test_guard_frame(spark):

@@ -66,7 +66,7 @@ def test_artifact(spark, tmp_path):
 
 def test_config():
     assert AnalysisConfig().cutoff == 2
-    for bad in ({"window": 0}, {"mtld_threshold": 1.0}, {"thresholds": (95, 90)}, {"thresholds": ()}, {"segment": True}, {"cutoff": -1}):
+    for bad in ({"window": 0}, {"mtld_threshold": 1.0}, {"thresholds": (95, 90)}, {"thresholds": ()}, {"segment": True}, {"cutoff": -1}, {"other": 1}, {"normalizer": "x"}, {"thresholds": (0, 90)}):
         with pytest.raises(ValueError):
             AnalysisConfig(**bad)
 
