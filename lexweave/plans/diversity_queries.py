@@ -77,7 +77,7 @@ def msttr(spark, sf):
     return rounded(D.msttr(toks(spark, sf), KEYS))
 
 
-_MATTR = """SELECT doc_id, round(avg(v / w), 6) AS mattr FROM (
+_MATTR = """SELECT doc_id, round(sum(v) / (any_value(w) * count(*)), 6) AS mattr FROM (
  SELECT doc_id, pos, n, least(50, n) AS w, (count(DISTINCT token) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING))::DOUBLE AS v
  FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM toks)) WHERE pos <= n - w + 1 GROUP BY doc_id"""
 

@@ -129,7 +129,7 @@ def s_empirical(spark, sf):
 
 @R.query(sql(f"""+ bt AS (SELECT doc_id, coalesce(level, 0) AS level, head, row_number() OVER (PARTITION BY doc_id, level ORDER BY pos) AS p, count(*) OVER (PARTITION BY doc_id, level) AS n FROM mapped WHERE level IS NULL OR level <= {LEVELS}),
  base AS (SELECT doc_id, level, count(*) AS tokens, count(DISTINCT head) AS types FROM bt GROUP BY ALL),
- ma AS (SELECT doc_id, level, avg(v / w) AS mattr FROM (SELECT doc_id, level, p, n, least(50, n) AS w, (count(DISTINCT head) OVER (PARTITION BY doc_id, level ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING))::DOUBLE AS v FROM bt) WHERE p <= n - w + 1 GROUP BY ALL),
+ ma AS (SELECT doc_id, level, sum(v) / (any_value(w) * count(*)) AS mattr FROM (SELECT doc_id, level, p, n, least(50, n) AS w, (count(DISTINCT head) OVER (PARTITION BY doc_id, level ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING))::DOUBLE AS v FROM bt) WHERE p <= n - w + 1 GROUP BY ALL),
  hd AS (SELECT doc_id, level, least(1, sum((1 - CASE WHEN n - c < s THEN 0 ELSE exp(lgamma(n - c + 1) - lgamma(n - c - s + 1) - lgamma(n + 1) + lgamma(n - s + 1)) END) / s)) AS hdd
   FROM (SELECT doc_id, level, c, n, least(42, n) AS s FROM (SELECT doc_id, level, count(*)::DOUBLE AS c, (sum(count(*)) OVER (PARTITION BY doc_id, level))::DOUBLE AS n FROM bt GROUP BY doc_id, level, head)) GROUP BY ALL)
  SELECT doc_id, level::INT AS level, tokens::BIGINT AS tokens, types::BIGINT AS types, round(mattr, 6) AS mattr, round(hdd, 6) AS hdd, 50 AS min_n FROM base JOIN ma USING (doc_id, level) JOIN hd USING (doc_id, level)"""))
