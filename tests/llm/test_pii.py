@@ -8,15 +8,33 @@ from lexweave.llm.pii_table import labelled
 
 
 @pytest.fixture(scope="module")
-def model():
-    return M.model()
+def model(spark):
+    return M.model(spark)
 
 
-def test_held_out_rows(model):
-    rows = labelled(600, seed=77)
+def agreement(model, rows):
     got = {(d, s, k) for d, s, _, k in M.Decoder(model).mentions([t for t, _ in rows])}
     want = {(i, s, k) for i, (_, marks) in enumerate(rows) for s, _, k in marks}
-    assert len(got & want) > 0.93 * len(want) and len(got & want) > 0.93 * len(got)
+    return len(got & want) / len(got), len(got & want) / len(want)
+
+
+def test_unseen_names_and_frames():
+    """Trained on one half of the lists, tried on the other: no name, street, host, syllable or frame in common."""
+    precision, recall = agreement(M.train(labelled(3000, part=0)), labelled(800, seed=7, part=1))
+    assert precision > 0.8 and recall > 0.75
+
+
+def test_fresh_rows(model):
+    precision, recall = agreement(model, labelled(600, seed=77))
+    assert precision > 0.9 and recall > 0.9
+
+
+def test_model_is_stored(spark, model):
+    known = dict(M._trained)
+    M._trained.clear()
+    again = M.model(spark)
+    assert again is not model and again.index == model.index and np.array_equal(again.weights, model.weights) and again.vocab == model.vocab
+    M._trained.update(known)
 
 
 def test_viterbi_against_all_paths():
@@ -35,7 +53,7 @@ def test_pruning_changes_nothing(model):
     texts = [t for t, _ in labelled(200, seed=5)]
     short = M.Decoder(model).mentions(texts)
     whole = M.Decoder(model)
-    whole.model = M.Model(model.index, model.weights, model.trans)
+    whole.model = M.Model(model.vocab, model.index, model.weights, model.trans)
     whole.model.most = 1e9  # decode every token
     assert short == whole.mentions(texts)
 
@@ -44,10 +62,16 @@ def test_frames(spark):
     text = "Name: Linnea Falkberg\nAddress: 12 Mill Road\nTel: 415-555-0181. Please write to a.b@example.org if the page is missing."
     rows = [(1, text, "k"), (2, None, "k"), (3, "", "k"), (4, "— 12 —", "k"), (5, "the cat sat. " * 40_000 + "\n" + text, "k"), (1, text, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
-    got = sorted((r.doc_id, text.find(t[r.start_at : r.end_at]) if r.doc_id == 1 else 0, r.kind) for r in M.mentions(df).collect() for t in [rows[r.doc_id - 1][1]])
-    assert [g for g in got if g[0] == 1][::2] == [(1, text.find(x), k) for x, k in (("Linnea", "person"), ("12 Mill", "address"), ("415", "phone"), ("a.b@", "email"))]
-    assert sum(g[0] == 5 for g in got) == 4
+    got = sorted((r.doc_id, r.start_at, r.kind) for r in M.mentions(df).collect())
+    want = [(text.find(x), k) for x, k in (("Linnea", "person"), ("12 Mill", "address"), ("415", "phone"), ("a.b@", "email"))]
+    assert got == sorted([(1, s, k) for s, k in want] * 2 + [(5, 13 * 40_000 + 1 + s, k) for s, k in want])
     red = {r.doc_id: r for r in M.redacted(df).collect()}
     assert red[1].text == "Name: [PERSON]\nAddress: [ADDRESS]\nTel: [PHONE]. Please write to [EMAIL] if the page is missing."
     assert red[2].text is None and red[3].text == "" and red[4].text == "— 12 —" and len(red) == 5
     assert M.mentions(df.limit(0)).count() == 0
+
+
+def test_listed_words(spark):
+    rows = [(i, f"Today the cat saw Marta. Marta ran home{'.' * i}") for i in range(6)] + [(9, None), (10, "ALL IN CAPITALS HERE MARTA")]
+    got = M.listed_words(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(M.word_hashes(["the", "cat", "saw", "today", "ran", "home"]).tolist()) == set(got.tolist())
