@@ -195,17 +195,16 @@ def shape(w: str, case: int) -> str:
 def type_features(vocab: frozenset[str], w: str, glue: int, case: int, chunk: int, digits: int, first: int, known: int, strange: int) -> list[list[str]]:
     """Feature names of a token type for each place in OFFSETS.
 
-    Words of the table's own vocabulary are features of their own; all other words count by shape, by whether they are
-    listed, and by their last letters. So no name is ever learned by heart.
+    Words of the table's own vocabulary are features of their own; all other words count by shape and by whether they are
+    listed. So no name and no part of one is ever learned by heart.
     """
     s, low = shape(w, case), w.lower()
     letter = w[0].isalpha()
     word = low if not letter or low in vocab else "(listed)" if known else "(other)"
-    tail = [f"s{k}={low[-k:]}" for k in (2, 3) if letter and not known and len(low) > k + 1]
     look = f"{s}|{known}{chunk}"
     run = f"nd={digits}|{first}"
-    own = ["bias", f"w={word}", f"sh={look}", f"g={glue}", f"sg={look}|{glue}", f"wg={word}|{glue}", f"ws={word}|{s}", f"n={min(len(w), 8)}|{look}", f"fo={strange}|{look}", run, f"{run}|{s}|{glue}", f"ch={chunk}|{glue}", *tail, *(f"{t}|{s}" for t in tail)]
-    near = [f"w={word}", f"sh={look}", f"sg={look}|{glue}", f"wg={word}|{glue}", f"ws={word}|{s}", run, f"ch={chunk}|{glue}", *tail[1:]]
+    own = ["bias", f"w={word}", f"sh={look}", f"g={glue}", f"sg={look}|{glue}", f"wg={word}|{glue}", f"ws={word}|{s}", f"n={min(len(w), 8)}|{look}", f"fo={strange}|{look}", run, f"{run}|{s}|{glue}", f"ch={chunk}|{glue}"]
+    near = [f"w={word}", f"sh={look}", f"sg={look}|{glue}", f"wg={word}|{glue}", f"ws={word}|{s}", run, f"ch={chunk}|{glue}"]
     far = [f"w={word}", f"sh={look}", f"sg={look}|{glue}", run]
     last = far[:3]
     return [[f"{o}:{x}" for x in (own if o == 0 else near if abs(o) == 1 else far if abs(o) == 2 else last)] for o in OFFSETS]
@@ -375,7 +374,7 @@ class _Sums:
         return out
 
 
-def train(rows=None, rounds: int = 60, ridge: float = 0.15, least: int = 4, hold_out: float = 0.25, seed: int = 3) -> Model:
+def train(rows=None, rounds: int = 60, ridge: float = 0.4, least: int = 4, hold_out: float = 0.25, seed: int = 3) -> Model:
     """Fit by maximum likelihood with a Gaussian prior: full-batch Adam, scaled forward-backward.
 
     A share ``hold_out`` of the content words is kept out of the vocabulary, so that the model also learns how a

@@ -371,6 +371,10 @@ COMMON = (
     "wind wine wish within woman wonder wood work world worry worse would wrong year yellow yes yesterday yet young"
 ).split()
 RELATION = "friend neighbour aunt uncle cousin brother sister mother father son daughter colleague boss teacher tutor coach doctor landlord flatmate classmate partner nephew niece grandmother grandfather pupil nurse lawyer manager assistant guest trainer dentist mentor professor captain boyfriend girlfriend wife husband".split()
+LABELS = {
+    "person": "Name|Student|Author|Patient|Owner|Contact|From|To|Sender|Recipient|Attn|Full name|Signed|Teacher|Guest".split("|"), "address": "Address|Home|Home address|Addr.|Lives at|Residence|Deliver to|Ship to|Location".split("|"),
+    "phone": "Tel|Tel.|Phone|Telephone|Mobile|Cell|Fax|Ph|Call|Ring|Text|Number".split("|"), "email": "E-mail|Email|Mail|email|Write to|Reply to|Contact|cc".split("|"),
+}
 PLACED = ("in {}", "at {}", "from {}", "to {}", "near {}")
 
 
@@ -389,7 +393,7 @@ ABROAD = (
 #: Small words of other languages; they are known, but not English.
 SMALL_ABROAD = frozenset(w for s in ABROAD for w in s.split() if w.islower())
 #: Words that tell of a mention, always words of their own to the model.
-CUES = frozenset(_words(*FRAMES, *TITLE, *SITE, *WAY, *RELATION) | _words(
+CUES = frozenset(_words(*FRAMES, *(x for v in LABELS.values() for x in v), *TITLE, *SITE, *WAY, *RELATION) | _words(
     "january february march april june july august september october november december tuesday wednesday thursday friday saturday english italian american british spanish chinese russian european "
     "ssn nino ni soc sec dl matric num id number no passport licence license driver student enrolment matriculation registration travel document national insurance social security driving ext extension x "
     "po box p o post office postbox flat apt unit apartment suite room floor at dot com org net edu uk co example test mailto www mail am pm isbn north south east west upper great old it they she he people everyone i we you this "
@@ -606,6 +610,26 @@ class Maker:
             out.append(s[0].upper() + s[1:] + r.choice("...?!"))
         return " ".join(out)
 
+    def card(self) -> list[tuple[str, str]]:
+        """A block of labelled or bare details in any order."""
+        r = self.r
+        joint = r.choice(("\n", "\n", ", ", "; ", " | ", " / ", " "))
+        bare = r.random() < 0.3
+        parts = []
+        for kind in r.sample(("person", "address", "phone", "email", "id_number"), k=r.choice((2, 2, 3, 3, 4))):
+            label = r.choice(LABELS.get(kind, ("",))) + r.choice((": ", ": ", " ", ". ", " = ", " - "))
+            if kind == "id_number":
+                name, value = self.identity()
+                parts.append([(name + r.choice((" ", ": ")), ""), (value, kind)])
+                continue
+            titled = kind == "person" and r.random() < 0.25
+            value = {"person": lambda: self.person(titled), "address": self.address, "phone": self.phone, "email": self.email}[kind]()
+            parts.append([("" if bare else label, ""), (r.choice(TITLE) if titled else "", ""), (value, kind)])
+        out = []
+        for i, part in enumerate(parts):
+            out += [(joint, "")] * (i > 0) + part
+        return out + [(r.choice((".", "", "", "\n")), "")]
+
     def row(self) -> tuple[str, list[tuple[int, int, str]]]:
         r = self.r
         if r.random() < 0.1:
@@ -615,6 +639,9 @@ class Maker:
         if r.random() < 0.4:
             pieces += [*(self.sentence(0.12) if r.random() < 0.88 else [(self.abroad(), "")]), (r.choice(["\n", " ", " ", "\n\n"]), "")]
         titled, id_value, i = False, "", 0
+        if r.random() < 0.1:
+            pieces += self.card()
+            i = len(frame)
         while i < len(frame):
             if frame[i] != "{":
                 pieces.append((frame[i], ""))
