@@ -122,4 +122,10 @@ def oracle_sql():
  SELECT least(a, b) AS essay_a, greatest(a, b) AS essay_b FROM p""",
         "p8_found": """WITH w AS (SELECT DISTINCT doc_id, md5(substring(text, i, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)),
  m AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), v AS (SELECT w.* FROM w JOIN m USING (h)) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM v a JOIN v b ON a.h = b.h AND a.doc_id < b.doc_id""",
+        "p8_coverage": """WITH d AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS n_copies FROM documents WHERE text IS NOT NULL),
+ w AS (SELECT doc_id, class_id, i, md5(substring(text, i, 400)) AS h FROM (SELECT *, unnest(range(1, length(text) - 398)) AS i FROM d WHERE length(text) >= 400)),
+ m AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), v AS (SELECT w.* FROM w JOIN m USING (h)),
+ c AS (SELECT doc_id, sum(least(400, coalesce(nx - i, 400))) AS shared FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM v) GROUP BY 1),
+ l AS (SELECT a.class_id, count(DISTINCT b.class_id) AS n FROM v a JOIN v b ON a.h = b.h AND a.class_id <> b.class_id GROUP BY 1)
+ SELECT d.doc_id, d.class_id, d.n_copies::BIGINT AS n_copies, coalesce(l.n, 0)::BIGINT AS n_links, coalesce(c.shared, 0)::BIGINT AS shared_chars, length(text)::BIGINT AS n_chars FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (class_id)""",
     }

@@ -3,7 +3,7 @@
 The method: a log-structured index of window fingerprints. A batch of documents becomes one
 immutable run, sorted by fingerprint; it is merge-joined with the runs of all earlier
 batches and with itself, the candidates are verified on the texts, and runs are compacted
-into larger ones when there are many. A later batch therefore costs its own fingerprints
+level by level. A later batch therefore costs its own fingerprints
 and one merge pass, not a new look at the old texts.
 
 Fingerprints are the minima (winnowing) of the hashes of ``K`` consecutive code points over
@@ -22,19 +22,22 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm.arrays import U64, codes, prefix_hash, record_batch, span_hash
-from lexweave.session import materialize, small_or_not, work_path
+from lexweave.session import bucketed, materialize, small_or_not
 
 MIN_LEN = 400
 K = 256
 HOT = 64
 STEP = 24
-FANOUT = 8
+FANOUT = 3
+BATCHES = 6
 
 _PLACE = U64((1 << 24) - 1)
 _NEVER = U64(2**64 - 1)
@@ -84,110 +87,144 @@ def eligible(docs: DataFrame, min_len: int) -> DataFrame:
     )
 
 
-def fingerprints(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
-    """``fp, sha, rep``: one row per fingerprint and class of identical texts."""
+_ROW = "fp bigint, sha binary"
+
 
-    schema = pa.schema([("fp", pa.int64()), ("sha", pa.binary()), ("rep", pa.int64())])
+def fingerprints(docs: DataFrame, min_len: int = MIN_LEN, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``fp, sha`` and the columns ``keep`` (bigint): the fingerprints of each document of at least ``min_len``."""
+    schema = pa.schema([("fp", pa.int64()), ("sha", pa.binary()), *((k, pa.int64()) for k in keep)])
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids, shas, texts = (part.column(i).to_pylist() for i in range(3))
-                each = [np.unique(chosen(codes(t), min_len)[0]) for t in texts]
+                each = [np.unique(chosen(codes(t), min_len)[0]) for t in part.column(1).to_pylist()]
                 n = np.array([len(h) for h in each])
+                row = pa.array(np.repeat(np.arange(len(n)), n))
                 fp = np.concatenate(each).view(np.int64)
-                sha = pa.array(shas, pa.binary()).take(pa.array(np.repeat(np.arange(len(n)), n)))
-                rep = np.repeat(np.array(ids, np.int64), n)
-                yield pa.RecordBatch.from_arrays([pa.array(fp), sha, pa.array(rep)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(fp), *(part.column(i).take(row) for i in (0, *range(2, 2 + len(keep))))], schema=schema)
 
-    rows = eligible(docs, min_len).select("doc_id", _sha().alias("sha"), "text").mapInArrow(run, "fp bigint, sha binary, rep bigint")
-    return rows.groupBy("fp", "sha").agg(F.min("rep").alias("rep"))
+    rows = docs.select("doc_id", "text", *keep).filter(F.col("doc_id").isNotNull() & (F.length("text") >= min_len))
+    return rows.select(_sha().alias("sha"), F.col("text").cast("string"), *(F.col(k).cast("bigint") for k in keep)).mapInArrow(run, ", ".join([_ROW, *(f"{k} bigint" for k in keep)]))
 
 
 class FingerprintLog:
-    """Sorted immutable runs of fingerprints in the shared folder."""
+    """Sorted immutable runs of fingerprints, in levels.
+
+    A run is a bucketed table in the shared folder: rows lie in ``buckets`` parts by fingerprint, one sorted file each.
+    A new batch is shuffled once, when its run is written; merge joins with itself and with every older run then read
+    the files bucket by bucket, without a shuffle. ``FANOUT`` runs of one level are merged into one of the next, so a
+    row is rewritten once a level and the number of runs grows with the logarithm of the batches.
+    """
 
-    def __init__(self, spark: SparkSession, min_len: int = MIN_LEN):
+    def __init__(self, spark: SparkSession, min_len: int = MIN_LEN, buckets: int | None = None):
         self.spark, self.min_len = spark, min_len
-        self.runs: list[DataFrame] = []
+        self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.levels: list[list[DataFrame]] = [[]]
+        # files of a bucket are sorted and there is one, so a merge join may take their order as it is
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        path = work_path(self.spark, "fp-run")
-        rows.repartition("fp").sortWithinPartitions("fp").write.parquet(path)
-        return self.spark.read.schema("fp bigint, sha binary, rep bigint").parquet(path)
+    @property
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
 
-    def history(self) -> DataFrame | None:
-        out = None
-        for r in self.runs:
-            out = r if out is None else out.unionByName(r)
-        return out
+    def _write(self, rows: DataFrame) -> DataFrame:
+        placed = rows.select("fp", "sha").repartition(self.buckets, "fp").dropDuplicates(["fp", "sha"])
+        return bucketed(placed.sortWithinPartitions("fp"), "fp_run", "fp", self.buckets)
 
-    def add(self, docs: DataFrame, old_docs: DataFrame | None = None) -> DataFrame:
-        """Index a batch; candidate class pairs ``sha_a, rep_a, sha_b, rep_b`` of the batch with all before and itself.
+    def add(self, rows: DataFrame, refine: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+        """Index the fingerprints ``fp, sha`` of a batch; candidate class pairs ``sha_a, sha_b`` of it with all before and itself.
 
-        ``old_docs`` holds the texts of earlier batches; it is read only if a bucket is hot.
+        ``refine(members, hot)`` gives finer keys for the rows of fingerprints that more than ``HOT`` classes have.
         """
-        run = self._write(fingerprints(docs, self.min_len))
-        known = self.history()
-        every = run if known is None else known.unionByName(run)
-        self.runs.append(run)
-        everything = docs if old_docs is None else old_docs.unionByName(docs)
-        sizes = every.groupBy("fp").agg(F.count("*").alias("n"))
-        hot = materialize(sizes.filter(F.col("n") > HOT).select("fp"), "hot")
-        if hot.isEmpty():
-            keyed_new, keyed_all = run, every
-        else:
-            marked = small_or_not(hot)
-            fine = materialize(self._refined(everything, every, marked), "refined")
-            cold = every.join(marked, "fp", "left_anti").unionByName(fine)
-            keyed_all = cold
-            keyed_new = run.join(marked, "fp", "left_anti").unionByName(
-                fine.join(run.select("sha").distinct(), "sha", "left_semi").select("fp", "sha", "rep")
-            )
-        a = keyed_new.select("fp", F.col("sha").alias("sha_1"), F.col("rep").alias("rep_1"))
-        b = keyed_all.select("fp", F.col("sha").alias("sha_2"), F.col("rep").alias("rep_2"))
-        met = a.hint("merge").join(b, "fp").filter("sha_1 <> sha_2")
-        low = F.col("sha_1") < F.col("sha_2")
-        pick = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
-        pair = met.select(
-            pick("sha_1", "sha_2").alias("sha_a"), pick("rep_1", "rep_2").alias("rep_a"),
-            pick("sha_2", "sha_1").alias("sha_b"), pick("rep_2", "rep_1").alias("rep_b"),
-        )
-        return pair.groupBy("sha_a", "sha_b").agg(F.min("rep_a").alias("rep_a"), F.min("rep_b").alias("rep_b"))
-
-    def _refined(self, docs: DataFrame, every: DataFrame, hot: DataFrame) -> DataFrame:
-        """Keys of hot fingerprints with more context on both sides, one grid step apart."""
-        min_len = self.min_len
-        spare = min_len - K
-        schema = pa.schema([("fp", pa.int64()), ("sha", pa.binary()), ("rep", pa.int64())])
-        need = every.join(hot, "fp", "left_semi").groupBy("rep", "sha").agg(F.collect_list("fp").alias("fps"))
-
-        def run(batches):
-            for b in batches:
-                for at in range(b.num_rows):
-                    rep, sha, fps, text = (b.column(i)[at].as_py() for i in range(4))
-                    arr = codes(text)
-                    h, place = chosen(arr, min_len)
-                    place = place[np.isin(h, np.array(fps, np.int64).view(U64))]
-                    prefix = prefix_hash(arr)
-                    keys = [np.zeros(0, U64)]
-                    for left in range(0, spare + STEP, STEP):
-                        # a span with at least ``left`` and less than ``left + STEP`` before the fingerprint
-                        start, end = place - left, place + K + max(0, spare - left - STEP)
-                        ok = (start >= 0) & (end <= len(arr))
-                        got = span_hash(prefix, start[ok], end[ok])
-                        keys.append(got ^ U64(left + 1))
-                    key = np.unique(np.concatenate(keys)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([sha] * len(key), pa.binary()), pa.array(np.full(len(key), rep))], schema=schema)
-
-        texts = eligible(docs, min_len).withColumnRenamed("doc_id", "rep")
-        return need.join(texts, "rep").select("rep", "sha", "fps", "text").mapInArrow(run, "fp bigint, sha binary, rep bigint").distinct()
-
-    def compact(self) -> None:
-        """Merge the runs into one when there are ``FANOUT`` of them: a fingerprint and class stays once."""
-        if len(self.runs) >= FANOUT:
-            self.runs = [self._write(self.history().groupBy("fp", "sha").agg(F.min("rep").alias("rep")))]
+        run = self._write(rows)
+        every = [*self.runs, run]
+        self.levels[0].append(run)
+        met = None
+        hot = self._hot(every) if refine else None
+        marked = small_or_not(hot) if hot is not None and not hot.isEmpty() else None
+        cold = (lambda r: r) if marked is None else (lambda r: r.join(marked, "fp", "left_anti"))
+        for old in every:
+            found = _meet(cold(run), cold(old))
+            met = found if met is None else met.unionByName(found)
+        if marked is not None:
+            members = None
+            for r in every:
+                part = r.join(marked, "fp", "left_semi")
+                members = part if members is None else members.unionByName(part)
+            fine = materialize(refine(members.distinct(), marked), "refined")
+            new = fine.join(run.join(marked, "fp", "left_semi").select("sha").distinct(), "sha", "left_semi").select("fp", "sha")
+            met = met.unionByName(_meet(new, fine))
+        self._compact()
+        return met
+
+    def _hot(self, runs: list[DataFrame]) -> DataFrame:
+        """Fingerprints of more than ``HOT`` classes: counts of single runs need no shuffle, and one of them must have its share."""
+        share = HOT // len(runs)
+        some, exact = None, None
+        for r in runs:
+            part = r.groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > share).select("fp")
+            some = part if some is None else some.unionByName(part)
+        some = small_or_not(materialize(some.distinct(), "maybe-hot"))
+        for r in runs:
+            part = r.join(some, "fp", "left_semi").groupBy("fp").agg(F.count("*").alias("n"))
+            exact = part if exact is None else exact.unionByName(part)
+        return materialize(exact.groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT).select("fp"), "hot")
+
+    def _compact(self) -> None:
+        """Merge each full level into one run of the next; a fingerprint and class stays once."""
+        k = 0
+        while k < len(self.levels):
+            if len(self.levels[k]) >= FANOUT:
+                rows = None
+                for r in self.levels[k]:
+                    rows = r if rows is None else rows.unionByName(r)
+                merged = self._write(rows)
+                self.levels[k] = []
+                if k + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[k + 1].append(merged)
+            k += 1
+
+
+def _meet(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Class pairs ``sha_a < sha_b`` with a fingerprint in common."""
+    a, b = new.select("fp", F.col("sha").alias("x")), old.select("fp", F.col("sha").alias("y"))
+    return a.hint("merge").join(b, "fp").filter("x <> y").select(F.least("x", "y").alias("sha_a"), F.greatest("x", "y").alias("sha_b"))
+
+
+def refined(docs: DataFrame, members: DataFrame, min_len: int) -> DataFrame:
+    """``fp, sha``: finer keys of hot fingerprints, from more context on both sides, one grid step apart."""
+    spare = min_len - K
+    schema = pa.schema([("fp", pa.int64()), ("sha", pa.binary())])
+    need = members.groupBy("sha").agg(F.collect_set("fp").alias("fps"))
+
+    def run(batches):
+        for b in batches:
+            for at in range(b.num_rows):
+                sha, fps, text = (b.column(i)[at].as_py() for i in range(3))
+                arr = codes(text)
+                h, place = chosen(arr, min_len)
+                place = place[np.isin(h, np.array(fps, np.int64).view(U64))]
+                prefix = prefix_hash(arr)
+                keys = [np.zeros(0, U64)]
+                for left in range(0, spare + STEP, STEP):
+                    # a span with at least ``left`` and less than ``left + STEP`` before the fingerprint
+                    start, end = place - left, place + K + max(0, spare - left - STEP)
+                    ok = (start >= 0) & (end <= len(arr))
+                    keys.append(span_hash(prefix, start[ok], end[ok]) ^ U64(left + 1))
+                key = np.unique(np.concatenate(keys)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([sha] * len(key), pa.binary())], schema=schema)
+
+    texts = representatives(docs, small_or_not(need.select("sha")), min_len)
+    return need.join(texts, "sha").select("sha", "fps", "text").mapInArrow(run, _ROW).distinct()
+
+
+def representatives(docs: DataFrame, shas: DataFrame, min_len: int) -> DataFrame:
+    """``sha, rep, text``: one document (least id) of each class in ``shas``. Texts move only for those."""
+    mine = eligible(docs, min_len).withColumn("sha", _sha()).join(shas, "sha", "left_semi")
+    return mine.groupBy("sha").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("rep")).select("sha", "rep", "text")
 
 
 def _runs(a: str, b: str, hx: np.ndarray, hy: np.ndarray, min_len: int) -> tuple[list[tuple[int, int, int]], bool]:
@@ -285,13 +322,15 @@ _SPAN = "sha_a binary, sha_b binary, rep_a bigint, rep_b bigint, spans array<str
 
 
 def verified(candidates: DataFrame, docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
-    """Candidate class pairs with their exact shared spans and covered places; pairs without one are gone."""
+    """Candidate class pairs ``sha_a, sha_b`` with their exact shared spans and covered places; pairs without one are gone.
+
+    The work of a pair, however many of them a class has, is spread by pair, not by class.
+    """
     pairs = materialize(candidates, "candidates")
-    ids = pairs.select(F.col("rep_a").alias("doc_id")).union(pairs.select("rep_b")).distinct()
-    texts = materialize(eligible(docs, min_len).join(small_or_not(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
-    full = pairs.join(texts.select(F.col("doc_id").alias("rep_a"), F.col("text").alias("text_a")), "rep_a").join(
-        texts.select(F.col("doc_id").alias("rep_b"), F.col("text").alias("text_b")), "rep_b"
-    )
+    shas = pairs.select(F.col("sha_a").alias("sha")).union(pairs.select("sha_b")).distinct()
+    texts = materialize(representatives(docs, small_or_not(shas), min_len), "candidate-texts")
+    side = lambda c: texts.select(F.col("sha").alias(f"sha_{c}"), F.col("rep").alias(f"rep_{c}"), F.col("text").alias(f"text_{c}"))
+    full = pairs.join(side("a"), "sha_a").join(side("b"), "sha_b")
     kind = pa.list_(pa.struct([("start_a", pa.int64()), ("start_b", pa.int64()), ("len", pa.int64())]))
     cover = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
     schema = pa.schema([("sha_a", pa.binary()), ("sha_b", pa.binary()), ("rep_a", pa.int64()), ("rep_b", pa.int64()), ("spans", kind), ("cover_a", cover), ("cover_b", cover)])
@@ -314,29 +353,26 @@ def class_members(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     return eligible(docs, min_len).select("doc_id", _sha().alias("sha")).distinct()
 
 
-def index_batches(docs: DataFrame, n_batches: int = 2, min_len: int = MIN_LEN) -> DataFrame:
-    """Verified class pairs of a table that arrives in ``n_batches`` by ``ingested_at`` (nulls first)."""
+def index_batches(docs: DataFrame, n_batches: int = BATCHES, min_len: int = MIN_LEN) -> DataFrame:
+    """Verified class pairs of a table that arrives in ``n_batches`` by ``ingested_at`` (nulls first).
+
+    The texts are read once for all fingerprints, and once more for the candidates.
+    """
     log = FingerprintLog(docs.sparkSession, min_len)
+    marks = []
     if n_batches > 1:
         marks = docs.select(F.percentile_approx("ingested_at", [i / n_batches for i in range(1, n_batches)])).first()[0] or []
-    else:
-        marks = []
     marks = sorted(set(marks))
-    found, old = None, None
+    number = F.lit(0)
+    for m in marks:
+        number = number + F.coalesce((F.col("ingested_at") > F.lit(m)).cast("int"), F.lit(0))
+    plain = docs.select("doc_id", "text", number.alias("batch"))
+    rows = materialize(fingerprints(plain, min_len, ("batch",)), "fingerprints", by=["batch"])
+    found = None
     for i in range(len(marks) + 1):
-        when = F.lit(True)
-        if i < len(marks):
-            when = when & (F.col("ingested_at") <= F.lit(marks[i]))
-        if i:
-            when = when & (F.col("ingested_at") > F.lit(marks[i - 1]))
-        elif marks:
-            when = F.col("ingested_at").isNull() | when
-        batch = docs.filter(when)
-        pairs = log.add(batch, old)
+        pairs = log.add(rows.filter(F.col("batch") == i), lambda members, hot: refined(docs, members, min_len))
         found = pairs if found is None else found.unionByName(pairs)
-        old = batch if old is None else old.unionByName(batch)
-        log.compact()
-    return verified(found.groupBy("sha_a", "sha_b").agg(F.min("rep_a").alias("rep_a"), F.min("rep_b").alias("rep_b")), docs, min_len)
+    return verified(found.distinct(), docs, min_len)
 
 
 def document_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def brute(rows, n):
     return {(a, b) for v in seen.values() for a in v for b in v if a < b}
 
 
-@pytest.mark.parametrize("batches,hot", [(1, 64), (3, 64), (2, 1)])
+@pytest.mark.parametrize("batches,hot", [(1, 64), (6, 64), (2, 1), (5, 1)])
 def test_pairs_are_exact(spark, monkeypatch, batches, hot):
     monkeypatch.setattr(S, "HOT", hot)
     monkeypatch.setattr(S, "FANOUT", 2)
@@ -41,6 +41,24 @@ def test_pairs_are_exact(spark, monkeypatch, batches, hot):
     assert cov[25].shared_chars == 700 and cov[25].n_copies == 2 and cov[24].shared_chars == 400 and cov[0].shared_chars == 0
 
 
+def test_log_levels_and_plans(spark, monkeypatch):
+    """Ten batches in levels of three: runs 3 + 3 + 3 make one of the third level; joins with older runs shuffle nothing."""
+    monkeypatch.setattr(S, "FANOUT", 3)
+    log = S.FingerprintLog(spark, buckets=4)
+    seen = set()
+    for i in range(10):
+        rows = [(fp, bytes([i, j])) for fp in range(3 * i, 3 * i + 5) for j in range(2)]
+        found = log.add(spark.createDataFrame(rows, "fp long, sha binary"))
+        if i in (2, 9):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+        seen |= {(bytes(r.sha_a), bytes(r.sha_b)) for r in found.distinct().collect()}
+        assert [len(level) for level in log.levels] == [[1], [2], [0, 1], [1, 1], [2, 1], [0, 2], [1, 2], [2, 2], [0, 0, 1], [1, 0, 1]][i]
+    classes = [(i, j) for i in range(10) for j in range(2)]
+    near = lambda a, b: abs(a - b) <= 1
+    assert seen == {(bytes(a), bytes(b)) for a in classes for b in classes if a < b and near(a[0], b[0])}
+
+
 def brute_stretches(a, b, n):
     out = []
     for i in range(len(a) - n + 1):
