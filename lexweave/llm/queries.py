@@ -14,8 +14,7 @@ def p1_found(spark, sf):
 
 
 def p1_counts(spark, sf):
-    essays = table(spark, sf, "essays")
-    return splits.overlap_counts(essays, splits.overlaps(essays))
+    return splits.overlap_counts(splits.overlaps(table(spark, sf, "essays")))
 
 
 def p2_found(spark, sf):
@@ -111,15 +110,20 @@ def queries():
 _SPACES = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
+_OVERLAPS = f"""WITH r AS (SELECT essay_row AS id, lower(trim(set_name)) AS s, nullif(lower(trim(text_id_kaggle)), '') AS k, lower(nfc_normalize(full_text)) AS t FROM essays WHERE lower(trim(set_name)) IN ('train', 'test', 'validation')),
+ x AS (SELECT id, s = 'train' AS tr, k, nullif(trim(regexp_replace(t, '{_SPACES}', ' ', 'g')), '') AS f, regexp_extract_all(t, '[a-z]+(?:[''’][a-z]+)?') AS w FROM r),
+ g AS (SELECT DISTINCT id, tr, list_transform(range(5), lambda j: w[i + j]) AS g FROM (SELECT id, tr, w, unnest(range(1, len(w) - 3)) AS i FROM x WHERE len(w) >= 5)), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+ p AS (SELECT a.id AS a, b.id AS b, 'i' AS why FROM x a JOIN x b ON a.tr AND NOT b.tr AND a.k = b.k UNION SELECT a.id, b.id, 't' FROM x a JOIN x b ON a.tr AND NOT b.tr AND a.f = b.f
+  UNION SELECT q.a, q.b, 'n' FROM (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.tr AND NOT b.tr AND a.g = b.g GROUP BY ALL) q JOIN n na ON na.id = q.a JOIN n nb ON nb.id = q.b WHERE c >= 0.85 * (na.n + nb.n - c))"""
+
+
 def oracle_sql():
     """Naive twins of the queries that SQL can express; the others are tested by brute force."""
     return {
-        "p1_found": f"""WITH r AS (SELECT essay_row AS id, lower(trim(set_name)) AS s, nullif(lower(trim(text_id_kaggle)), '') AS k, lower(nfc_normalize(full_text)) AS t FROM essays WHERE lower(trim(set_name)) IN ('train', 'test', 'validation')),
- x AS (SELECT id, s = 'train' AS tr, k, nullif(trim(regexp_replace(t, '{_SPACES}', ' ', 'g')), '') AS f, regexp_extract_all(t, '[a-z]+(?:[''’][a-z]+)?') AS w FROM r),
- g AS (SELECT DISTINCT id, tr, list_transform(range(5), lambda j: w[i + j]) AS g FROM (SELECT id, tr, w, unnest(range(1, len(w) - 3)) AS i FROM x WHERE len(w) >= 5)), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
- p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.tr AND NOT b.tr AND a.k = b.k UNION SELECT a.id, b.id FROM x a JOIN x b ON a.tr AND NOT b.tr AND a.f = b.f
-  UNION SELECT q.a, q.b FROM (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.tr AND NOT b.tr AND a.g = b.g GROUP BY ALL) q JOIN n na ON na.id = q.a JOIN n nb ON nb.id = q.b WHERE c >= 0.85 * (na.n + nb.n - c))
- SELECT least(a, b) AS essay_a, greatest(a, b) AS essay_b FROM p""",
+        "p1_found": _OVERLAPS + " SELECT DISTINCT least(a, b) AS essay_a, greatest(a, b) AS essay_b FROM p",
+        "p1_counts": _OVERLAPS + """ SELECT r.s AS set_name, coalesce(nullif(lower(trim(source)), ''), '(none)') AS source, count(*)::BIGINT AS n_pairs, count(DISTINCT b)::BIGINT AS n_eval_rows, count(DISTINCT a)::BIGINT AS n_train_rows,
+ count(*) FILTER (bi)::BIGINT AS n_same_id, count(*) FILTER (bt)::BIGINT AS n_same_text, count(*) FILTER (bn)::BIGINT AS n_near_text
+ FROM (SELECT a, b, bool_or(why = 'i') AS bi, bool_or(why = 't') AS bt, bool_or(why = 'n') AS bn FROM p GROUP BY 1, 2) q JOIN r ON r.id = q.b JOIN essays e ON e.essay_row = q.b GROUP BY 1, 2""",
         "p8_found": """WITH w AS (SELECT DISTINCT doc_id, md5(substring(text, i, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)),
  m AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), v AS (SELECT w.* FROM w JOIN m USING (h)) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM v a JOIN v b ON a.h = b.h AND a.doc_id < b.doc_id""",
         "p8_coverage": """WITH d AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS n_copies FROM documents WHERE text IS NOT NULL),

@@ -3,10 +3,10 @@
 The method: the texts of the evaluation splits become a compressed full-text index (Burrows-
 Wheeler transform over words: for each word the sorted places at which it precedes a suffix,
 delta-coded and deflated where the shard is stored, and a document array; the texts are not
-kept). Training rows stream through backward search, which gives for every word place the
-interval of suffixes that start with the ``SHINGLE`` words there, hence each maximal match
-and, from the intervals, the evaluation texts that can reach the similarity. Match spans and
-shingle counts are merged into the exact resemblance.
+kept). Training rows stream in blocks through backward search, which gives for every word place
+the interval of suffixes that start with the ``SHINGLE`` words there; places in a row that one
+evaluation text has make a maximal match with it. The matches are merged, the distinct shingles
+within them counted, and this count decides whether the pair is near.
 
 Scale: only the evaluation side is indexed, in shards of about ``SHARD_WORDS`` words, built
 in parallel and read by the tasks from the shared folder one at a time. Training rows are
@@ -37,7 +37,7 @@ import pyarrow.dataset as pads
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.arrays import U64, mix
+from lexweave.llm.arrays import U64, codes, mix, prefix_hash, record_batch, span_hash
 from lexweave.session import materialize, work_path
 
 SHINGLE = 5
@@ -45,9 +45,9 @@ THRESHOLD = 0.85
 SHARD_WORDS = 6_000_000
 EVAL_SETS = ("test", "validation")
 
-# Fixed value: a word is a run of letters with at most one apostrophe and a further run.
-_WORD = re.compile(r"[a-z]+(?:['’][a-z]+)?")
 _SPACE = re.compile(r"\s+")
+# Signs that may join two runs of letters into one word.
+_JOINERS = (0x27, 0x2019)
 
 
 def text_form(text: str) -> str:
@@ -55,89 +55,119 @@ def text_form(text: str) -> str:
     return _SPACE.sub(" ", unicodedata.normalize("NFC", text).lower()).strip()
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(unicodedata.normalize("NFC", text).lower())
+def _digest(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()[:16]
 
 
-def _digest(text: str) -> bytes:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:16]
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some texts and the number of each word's text.
+
+    A word is a run of a-z of the composed, lower-cased text with at most one apostrophe and a further run.
+    """
+    arr = codes("\n".join(unicodedata.normalize("NFC", t).lower().replace("\n", " ") for t in texts))
+    letter = np.zeros(len(arr) + 2, bool)
+    np.logical_and(arr >= 97, arr <= 122, out=letter[1:-1])
+    edge = np.flatnonzero(letter[1:] != letter[:-1])
+    start, end = edge[0::2], edge[1::2]
+    if not len(start):
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    link = np.zeros(len(start), bool)  # one joiner to the next run
+    link[:-1] = (start[1:] - end[:-1] == 1) & np.isin(arr[end[:-1]], _JOINERS)
+    head = np.flatnonzero(~np.concatenate([[False], link[:-1]]))
+    place = np.arange(len(start)) - np.repeat(head, np.diff(np.append(head, len(start))))
+    own = np.flatnonzero(place % 2 == 0)  # in a chain of joined runs words take two runs each
+    last = own + link[own]
+    line = np.cumsum(np.concatenate([[0], arr == 10]))[start[own]]
+    return span_hash(prefix_hash(arr), start[own], end[last]), line
+
+
+def _split(name: str | None) -> str:
+    return (name or "").strip().lower()
 
 
 _KEYS = pa.schema([("essay_row", pa.int64()), ("split", pa.string()), ("source", pa.string()), ("id_key", pa.string()), ("text_key", pa.binary()), ("word_key", pa.binary()), ("n_words", pa.int32())])
 _KEYS_SQL = "essay_row bigint, split string, source string, id_key string, text_key binary, word_key binary, n_words int"
 
 
+def _per_text(texts: list[str | None]) -> list[np.ndarray]:
+    h, doc = word_hashes([t or "" for t in texts])
+    return np.split(h, np.searchsorted(doc, np.arange(1, len(texts))))
+
+
+def _rows(essays: DataFrame, *columns: str) -> DataFrame:
+    """Rows that may belong to a split (its name decides in Python, trimmed in one way everywhere)."""
+    near = F.lower(F.col("set_name").cast("string"))
+    some = near.contains("train")
+    for name in EVAL_SETS:
+        some = some | near.contains(name)
+    return essays.filter(some).select(F.col("essay_row").cast("bigint"), *(F.col(c).cast("string") for c in ("set_name", "full_text", *columns)))
+
+
 def split_keys(essays: DataFrame) -> DataFrame:
-    """One row per row of a split: its trimmed split name and source, id, text and word keys."""
+    """One row per row of a split: its trimmed split name and source, id and text keys, and for held-out rows the word key."""
 
     def run(batches):
         for b in batches:
-            rows = []
-            for row, name, source, ident, text in zip(*(b.column(i).to_pylist() for i in range(5))):
-                name = (name or "").strip().lower()
-                if row is None or (name != "train" and name not in EVAL_SETS):
-                    continue
-                ident = (ident or "").strip().lower() or None
-                form = text_form(text) if text else ""
-                words = words_of(text) if text else []
-                rows.append((row, name, (source or "").strip().lower() or None, ident, _digest(form) if form else None, _digest(" ".join(words)) if len(words) >= SHINGLE else None, len(words)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _KEYS)], schema=_KEYS)
-
-    cols = ("essay_row", "set_name", "source", "text_id_kaggle", "full_text")
-    return essays.select(F.col("essay_row").cast("bigint"), *(F.col(c).cast("string") for c in cols[1:])).mapInArrow(run, _KEYS_SQL)
-
+            for at in range(0, b.num_rows, 512):
+                cols = [c.to_pylist() for c in b.slice(at, 512).columns]
+                held = [t if _split(name) in EVAL_SETS else None for name, t in zip(cols[1], cols[2])]
+                rows = []
+                for row, name, text, ident, source, words in zip(*cols, _per_text(held)):
+                    name = _split(name)
+                    if row is None or (name != "train" and name not in EVAL_SETS):
+                        continue
+                    form = text_form(text) if text else ""
+                    key = _digest(words.tobytes()) if len(words) >= SHINGLE else None
+                    rows.append((row, name, _split(source) or None, _split(ident) or None, _digest(form.encode("utf-8", "surrogatepass")) if form else None, key, len(words)))
+                if rows:
+                    yield record_batch(_KEYS, list(zip(*rows)))
 
-def _side(essays: DataFrame, evaluation: bool) -> DataFrame:
-    name = F.lower(F.regexp_replace("set_name", r"^\s+|\s+$", ""))
-    return essays.filter(name.isin(*EVAL_SETS) if evaluation else name == "train").select(F.col("essay_row").cast("bigint"), F.col("full_text").cast("string"))
+    return _rows(essays, "text_id_kaggle", "source").mapInArrow(run, _KEYS_SQL)
 
 
 def _suffix_order(s: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; ends when all ranks differ (each text ends with its own sign)."""
+    """Suffix array by prefix doubling; each text ends with its own sign. Only groups that are not settled are sorted again."""
     n = len(s)
-    order, key, k = np.argsort(s, kind="stable"), s.copy(), 1
-    rank = np.empty(n, np.int64)
-    while True:
-        sorted_key = key[order]
-        rank[order[0]] = 0
-        rank[order[1:]] = np.cumsum(sorted_key[1:] != sorted_key[:-1])
-        if rank[order[-1]] == n - 1:
-            return order
-        np.multiply(rank, n + 1, out=key)
-        key[:-k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
-        k *= 2
+    order = np.argsort(s, kind="stable")
+    new = np.concatenate([[True], s[order][1:] != s[order][:-1]])
+    rank = np.empty(n, np.int64)  # place of the first suffix of a suffix's group
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    alone = new & np.concatenate([new[1:], [True]])
+    open_, k = np.flatnonzero(~alone), 1
+    while len(open_):
+        suffix = order[open_]
+        after = np.where(suffix + k < n, rank[np.minimum(suffix + k, n - 1)] + 1, 0)
+        key = rank[suffix] * (n + 1) + after
+        by = np.argsort(key, kind="stable")
+        key, suffix = key[by], suffix[by]
+        order[open_] = suffix
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[suffix] = np.maximum.accumulate(np.where(new, open_, 0))
+        open_, k = open_[~(new & np.concatenate([new[1:], [True]]))], 2 * k
+    return order
 
 
 class TextIndex:
     """Backward search over the words of a shard of evaluation texts."""
 
-    def __init__(self, vocab, places, first, docs, keys, counts, grams, gram_at):
-        self.vocab = {w: i for i, w in enumerate(vocab)}
-        self.n = len(places)
+    def __init__(self, vocab, places, first, docs, keys, grams, gram_at):
+        self.vocab, self.n = vocab, len(places)
         symbol = np.repeat(np.arange(len(first) - 1), np.diff(first))
         self.occ = symbol * (self.n + 1) + places.astype(np.int64)  # occurrence lists, one after another
-        self.docs, self.keys, self.counts, self.grams, self.gram_at = docs, keys, counts, grams, gram_at
+        self.docs, self.keys, self.counts, self.grams, self.gram_at = docs, keys, np.diff(gram_at), grams, gram_at
         self.first = first
         self.first_word = len(first) - 1 - len(vocab)
 
     @classmethod
-    def pack(cls, keys: list[bytes], texts: Sequence[str]) -> list[tuple[str, bytes]]:
-        """The stored parts of the index of some texts, each its words with spaces between.
-
-        Words become numbers text by text, so the shard's words never exist as strings all at once.
-        """
-        known: set[str] = set()
-        for t in texts:
-            known.update(t.split(" "))
-        vocab = sorted(known)
-        ids = {w: i + len(texts) for i, w in enumerate(vocab)}
-        each = [np.fromiter(map(ids.__getitem__, t.split(" ")), np.int32) for t in texts]
-        sizes = np.array([len(e) for e in each]) + 1
-        s = np.concatenate([x for d, e in enumerate(each) for x in (e, np.array([d], np.int32))]).astype(np.int64)
-        del each, ids, known
+    def pack(cls, keys: list[bytes], texts: Sequence[np.ndarray]) -> list[tuple[str, bytes]]:
+        """The stored parts of the index of some texts, each the hashes of its words."""
+        sizes = np.array([len(t) for t in texts], np.int64) + 1
+        vocab, ids = np.unique(np.concatenate(texts), return_inverse=True)
         doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+        s = doc.astype(np.int64)  # a text's own sign stands at its end, words elsewhere
+        word = np.ones(len(s), bool)
+        word[np.cumsum(sizes) - 1] = False
+        s[word] = ids + len(texts)
         order = _suffix_order(s)
         bwt = s[order - 1]  # the last suffix's predecessor wraps around to the last sign
         by = np.argsort(bwt, kind="stable")
@@ -154,7 +184,7 @@ class TextIndex:
         gram_at = np.searchsorted(gdoc, np.arange(len(texts) + 1))
         delta = np.diff(by.astype(np.int64), prepend=0).astype(np.int32)
         parts = {
-            "vocab": "\n".join(vocab).encode(), "places": delta.tobytes(), "first": first.astype(np.int64).tobytes(), "docs": doc[order].tobytes(),
+            "vocab": vocab.tobytes(), "places": delta.tobytes(), "first": first.astype(np.int64).tobytes(), "docs": doc[order].tobytes(),
             "keys": b"".join(keys), "grams": glow.astype(np.int64).tobytes(), "gram_at": gram_at.astype(np.int64).tobytes(),
         }
         return [(k, zlib.compress(v, 1)) for k, v in parts.items()]
@@ -163,90 +193,73 @@ class TextIndex:
     def unpack(cls, parts: dict[str, bytes]) -> TextIndex:
         raw = {k: zlib.decompress(v) for k, v in parts.items()}
         keys = [raw["keys"][i : i + 16] for i in range(0, len(raw["keys"]), 16)]
-        at = np.frombuffer(raw["gram_at"], np.int64)
-        vocab = raw["vocab"].decode().split("\n") if raw["vocab"] else []
         places = np.cumsum(np.frombuffer(raw["places"], np.int32), dtype=np.int64)
-        return cls(vocab, places, np.frombuffer(raw["first"], np.int64), np.frombuffer(raw["docs"], np.int32), keys, np.diff(at), np.frombuffer(raw["grams"], np.int64), at)
+        wide = {k: np.frombuffer(raw[k], np.int64) for k in ("first", "grams", "gram_at")}
+        return cls(np.frombuffer(raw["vocab"], U64), places, wide["first"], np.frombuffer(raw["docs"], np.int32), keys, wide["grams"], wide["gram_at"])
 
     def step(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the suffixes in [lo, hi) preceded by the symbol."""
         base = symbol * (self.n + 1)
         return np.searchsorted(self.occ, base + lo), np.searchsorted(self.occ, base + hi)
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        get = self.vocab.get
-        return np.array([get(w, -1) for w in words], np.int64) + self.first_word
-
-    def grams_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of the SHINGLE words that start at each place; empty where there are none."""
-        m = len(ids) - SHINGLE + 1
-        lo, hi = np.zeros(max(m, 0), np.int64), np.zeros(max(m, 0), np.int64)
-        if m <= 0:
-            return lo, hi
-        known = np.concatenate([[0], np.cumsum(ids >= self.first_word)])
-        at = np.flatnonzero(known[SHINGLE:] - known[:-SHINGLE] == SHINGLE)
+    def intervals(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of a block of texts at which an indexed run of SHINGLE words begins, and the interval of suffixes of each."""
+        at = np.minimum(np.searchsorted(self.vocab, words), len(self.vocab) - 1)
+        ids = np.where(self.vocab[at] == words, at + self.first_word, -1)
+        known = np.concatenate([[0], np.cumsum(ids >= 0)])
+        at = np.flatnonzero((known[SHINGLE:] - known[:-SHINGLE] == SHINGLE) & (doc[: len(doc) - SHINGLE + 1] == doc[SHINGLE - 1 :]))
         last = ids[at + SHINGLE - 1]
         a, b = self.first[last], self.first[last + 1]  # suffixes that start with the last word
         for j in range(SHINGLE - 2, -1, -1):
             a, b = self.step(a, b, ids[at + j])
             ok = b > a
             at, a, b = at[ok], a[ok], b[ok]
-        lo[at], hi[at] = a, b
-        return lo, hi
-
-    def maximal(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
-        """Maximal matches (start, end) in words: each run of matching shingles is extended backwards
-        from its end for as long as any indexed text goes along; the rest of the run follows."""
-        hit = hi > lo
-        spans = []
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-        for s, e in zip(edge[0::2], edge[1::2]):
-            end = e - 1
-            while end >= s:
-                a, b, i = lo[end : end + 1], hi[end : end + 1], end
-                while i > 0 and ids[i - 1] >= self.first_word:
-                    x, y = self.step(a, b, ids[i - 1 : i])
-                    if y[0] <= x[0]:
-                        break
-                    a, b, i = x, y, i - 1
-                spans.append((int(i), int(end) + SHINGLE))
-                end = min(i - 1 + SHINGLE - 1, end - 1) if i > s else s - 1
-        return spans[::-1]
-
-    def near(self, words: list[str], threshold: float) -> list[tuple[bytes, int, int, int, list[tuple[int, int]]]]:
-        """(word key, shared, union, longest match, merged spans) of indexed texts at ``threshold`` or more."""
-        ids = self.ids(words)
-        lo, hi = self.grams_of(ids)
-        hit = hi > lo
-        if not hit.any():
+        return at, a, b
+
+    def matches(self, d: int, at: np.ndarray, low: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Maximal matches (start, end) in words of a text with indexed text ``d``, and which of the places ``at`` lie in one."""
+        theirs = self.grams[self.gram_at[d] : self.gram_at[d + 1]]
+        inside = theirs[np.minimum(np.searchsorted(theirs, low), len(theirs) - 1)] == low
+        place = at[inside]
+        cut = np.flatnonzero(np.diff(place) != 1) + 1
+        first, last = place[np.concatenate([[0], cut])], place[np.concatenate([cut - 1, [len(place) - 1]])]
+        return list(zip(first.tolist(), (last + SHINGLE).tolist())), inside
+
+    def near(self, texts: list[np.ndarray], threshold: float) -> list[tuple[int, bytes, int, int, int, int]]:
+        """(text number, word key, shared, union, longest match, words in merged matches) at ``threshold`` or more, for a block of texts."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        words, doc = np.concatenate([*texts, np.zeros(0, U64)]), np.repeat(np.arange(len(texts)), sizes)
+        if len(words) < SHINGLE:
             return []
-        local = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        own = np.array([local[w] for w in words], np.int64)
-        code = np.zeros(len(lo), U64)
+        at, lo, hi = self.intervals(words, doc)
+        m = len(words) - SHINGLE + 1
+        code = np.zeros(m, U64)
         for j in range(SHINGLE):
-            code = mix(code ^ own[j : j + len(lo)].astype(U64))
-        n = len(np.unique(code))
-        low, first = np.unique(lo[hit], return_index=True)
-        size = (hi - lo)[hit][first]
-        need = math.ceil(threshold * n - 1e-9)
-        if len(low) < need:
-            return []
-        spare = n - need + 1 - (n - len(low))  # shingles that are nowhere come first among the rarest
-        rare = np.argsort(size, kind="stable")[:spare]
-        cand = np.unique(np.concatenate([self.docs[low[i] : low[i] + size[i]] for i in rare]))
-        c = self.counts[cand]
-        cand = cand[(c >= threshold * n - 1e-9) & (c * threshold <= n + 1e-9)]
+            code = mix(code ^ words[j : j + m])
+        whole = np.flatnonzero(doc[:m] == doc[SHINGLE - 1 :])
+        order = np.lexsort((code[whole], doc[whole]))
+        c, d = code[whole][order], doc[whole][order]
+        distinct = np.bincount(d[np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])])] if len(c) else d, minlength=len(texts))
+        start, begin = np.searchsorted(doc[at], np.arange(len(texts) + 1)), np.concatenate([[0], np.cumsum(sizes)])
+        need = np.ceil(threshold * distinct - 1e-9)
         out = []
-        spans = None
-        for d in cand:
-            theirs = self.grams[self.gram_at[d] : self.gram_at[d + 1]]
-            at = np.minimum(np.searchsorted(theirs, low), len(theirs) - 1)
-            shared = int((theirs[at] == low).sum())
-            union = n + len(theirs) - shared
-            if shared >= threshold * union - 1e-9:
-                if spans is None:
-                    spans = self.maximal(ids, lo, hi)
-                out.append((self.keys[d], shared, union, max(e - s for s, e in spans), merged(spans)))
+        for t in np.flatnonzero((np.diff(start) >= need) & (distinct > 0)):
+            n = int(distinct[t])
+            here = slice(start[t], start[t + 1])
+            low, first = np.unique(lo[here], return_index=True)
+            if len(low) < need[t]:
+                continue
+            size = (hi - lo)[here][first]
+            spare = int(n - need[t] + 1 - (n - len(low)))  # shingles that are nowhere come first among the rarest
+            rare = np.argsort(size, kind="stable")[:spare]
+            cand = np.unique(np.concatenate([self.docs[low[i] : low[i] + size[i]] for i in rare]))
+            c = self.counts[cand]
+            for k in cand[(c >= threshold * n - 1e-9) & (c * threshold <= n + 1e-9)]:
+                spans, inside = self.matches(k, at[here] - begin[t], lo[here])
+                shared = len(np.unique(lo[here][inside]))  # distinct shingles within the matches
+                union = n + int(self.counts[k]) - shared
+                if shared >= threshold * union - 1e-9:
+                    out.append((int(t), self.keys[k], shared, union, max(e - s for s, e in spans), sum(e - s for s, e in merged(spans))))
         return out
 
 
@@ -264,23 +277,25 @@ def build_index(essays: DataFrame, keys: DataFrame) -> tuple[str, int]:
     """Write the index shards of all distinct evaluation texts; their folder and number."""
 
     def texts(batches):
-        schema = pa.schema([("word_key", pa.binary()), ("words", pa.string())])
+        schema = pa.schema([("word_key", pa.binary()), ("words", pa.binary())])
         for b in batches:
-            each = [words_of(t) if t else [] for t in b.column(1).to_pylist()]
-            joined = [" ".join(w) for w in each if len(w) >= SHINGLE]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(j) for j in joined], pa.binary()), pa.array(joined, pa.string())], schema=schema)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                held = [t if _split(name) in EVAL_SETS else None for name, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                each = [w.tobytes() for w in _per_text(held) if len(w) >= SHINGLE]
+                yield record_batch(schema, [[_digest(w) for w in each], each])
 
-    total = keys.filter(F.col("split").isin(*EVAL_SETS) & F.col("word_key").isNotNull()).agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    total = keys.filter(F.col("word_key").isNotNull()).agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     n_shards = max(1, math.ceil(total / SHARD_WORDS))
 
     def pack(table: pa.Table) -> pa.Table:
         shard = table.column(0)[0].as_py()
         order = np.argsort(np.array(table.column(1).to_pylist(), object))
         key, words = table.column(1).to_pylist(), table.column(2).to_pylist()
-        parts = TextIndex.pack([key[i] for i in order], [words[i] for i in order])
+        parts = TextIndex.pack([key[i] for i in order], [np.frombuffer(words[i], U64) for i in order])
         return pa.table({"shard": pa.array([shard] * len(parts), pa.int32()), "part": [p for p, _ in parts], "data": pa.array([d for _, d in parts], pa.binary())})
 
-    distinct = _side(essays, True).mapInArrow(texts, "word_key binary, words string").groupBy("word_key").agg(F.first("words").alias("words"))
+    distinct = _rows(essays).mapInArrow(texts, "word_key binary, words binary").groupBy("word_key").agg(F.first("words").alias("words"))
     path = work_path(essays.sparkSession, "eval-index")
     shard = F.pmod(F.xxhash64("word_key"), F.lit(n_shards)).cast("int")
     distinct.select(shard.alias("shard"), "word_key", "words").groupBy("shard").applyInArrow(pack, "shard int, part string, data binary").write.partitionBy("shard").parquet(path)
@@ -294,33 +309,32 @@ def load_shard(path: str, shard: int) -> TextIndex | None:
     """The shard from the shared folder; one is kept per worker process."""
     if (path, shard) not in _loaded:
         _loaded.clear()
-        data = pads.dataset(path, format="parquet", partitioning="hive")
+        data = pads.dataset(re.sub(r"^s3[an]:", "s3:", path), format="parquet", partitioning="hive")
         got = data.to_table(columns=["part", "data"], filter=pads.field("shard") == shard).to_pylist() if "shard" in data.schema.names else []
         _loaded[path, shard] = TextIndex.unpack({r["part"]: r["data"] for r in got}) if got else None
     return _loaded[path, shard]
 
 
-_NEAR = pa.schema([("train_row", pa.int64()), ("word_key", pa.binary()), ("shared", pa.int32()), ("united", pa.int32()), ("longest", pa.int32()), ("covered_words", pa.int32()), ("n_words", pa.int32())])
-_NEAR_SQL = "train_row bigint, word_key binary, shared int, united int, longest int, covered_words int, n_words int"
+_NEAR = pa.schema([("train_row", pa.int64()), ("word_key", pa.binary()), ("shared", pa.int32()), ("united", pa.int32()), ("longest", pa.int32()), ("covered_words", pa.int32())])
+_NEAR_SQL = "train_row bigint, word_key binary, shared int, united int, longest int, covered_words int"
 
 
 def near_copies(essays: DataFrame, keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Training rows and evaluation texts (by word key) of at least ``threshold`` resemblance, with match spans counted."""
+    """Training rows and evaluation texts (by word key) of at least ``threshold`` resemblance, by their maximal matches."""
     path, n_shards = build_index(essays, keys)
-    train, out = _side(essays, False), None
+    train, out = _rows(essays), None
     for shard in range(n_shards):
 
         def run(batches, shard=shard):
             index = load_shard(path, shard)
             for b in batches:
-                rows = []
-                for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    words = words_of(text) if text and index is not None and row is not None else []
-                    if len(words) >= SHINGLE:
-                        for key, shared, union, longest, spans in index.near(words, threshold):
-                            rows.append((row, key, shared, union, longest, sum(e - s for s, e in spans), len(words)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _NEAR)], schema=_NEAR)
+                for at in range(0, b.num_rows if index is not None else 0, 256):
+                    part = b.slice(at, 256)
+                    row, name, text = (part.column(i).to_pylist() for i in range(3))
+                    keep = [i for i in range(len(row)) if row[i] is not None and text[i] and _split(name[i]) == "train"]
+                    found = index.near(_per_text([text[i] for i in keep]), threshold) if keep else []
+                    if found:
+                        yield record_batch(_NEAR, list(zip(*((row[keep[t]], *rest) for t, *rest in found))))
 
         found = train.mapInArrow(run, _NEAR_SQL)
         out = found if out is None else out.unionByName(found)
@@ -328,30 +342,31 @@ def near_copies(essays: DataFrame, keys: DataFrame, threshold: float = THRESHOLD
 
 
 def overlaps(essays: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs ``train_row, eval_row`` with the reasons ``same_id, same_text, near_text`` and the resemblance where near."""
-    keys = materialize(split_keys(essays), "split-keys")
+    """All pairs ``train_row, eval_row`` with the evaluation row's ``set_name`` and ``source``, the reasons ``same_id``,
+    ``same_text``, ``near_text``, and where near the resemblance, the longest match and the words in merged matches."""
+    keys = materialize(split_keys(essays).dropDuplicates(["essay_row", "split", "id_key", "text_key"]), "split-keys")
     train = keys.filter("split = 'train'")
     held = keys.filter(F.col("split").isin(*EVAL_SETS))
+    side = [F.col("essay_row").alias("eval_row"), F.col("split").alias("set_name"), F.coalesce("source", F.lit("(none)")).alias("source")]
+    measures = {"resemblance": "double", "longest": "int", "covered_words": "int"}
 
     def equal(key: str, reason: str) -> DataFrame:
         a = train.select(F.col("essay_row").alias("train_row"), key).filter(F.col(key).isNotNull())
-        b = held.select(F.col("essay_row").alias("eval_row"), key).filter(F.col(key).isNotNull())
-        return a.join(b, key).select("train_row", "eval_row", F.lit(reason).alias("reason"), F.lit(None).cast("double").alias("resemblance"), F.lit(None).cast("int").alias("longest"))
+        b = held.select(*side, key).filter(F.col(key).isNotNull())
+        return a.join(b, key).select("train_row", "eval_row", "set_name", "source", F.lit(reason).alias("reason"), *(F.lit(None).cast(t).alias(c) for c, t in measures.items()))
 
-    near = near_copies(essays, keys, threshold).join(held.select(F.col("essay_row").alias("eval_row"), "word_key"), "word_key")
-    near = near.select("train_row", "eval_row", F.lit("near_text").alias("reason"), (F.col("shared") / F.col("united")).alias("resemblance"), "longest")
+    near = near_copies(essays, keys, threshold).join(held.select(*side, "word_key"), "word_key")
+    near = near.select("train_row", "eval_row", "set_name", "source", F.lit("near_text").alias("reason"), (F.col("shared") / F.col("united")).alias("resemblance"), "longest", "covered_words")
     every = equal("id_key", "same_id").unionByName(equal("text_key", "same_text")).unionByName(near)
-    pairs = every.groupBy("train_row", "eval_row").agg(
-        *(F.max(F.col("reason") == r).alias(r) for r in ("same_id", "same_text", "near_text")), F.max("resemblance").alias("resemblance"), F.max("longest").alias("longest_match")
-    )
-    return pairs
+    return every.groupBy("train_row", "eval_row").agg(
+        F.min("set_name").alias("set_name"), F.min("source").alias("source"), *(F.max(F.col("reason") == r).alias(r) for r in ("same_id", "same_text", "near_text")),
+        F.max("resemblance").alias("resemblance"), F.max("longest").alias("longest_match"), F.max("covered_words").alias("covered_words"),
+    )
 
 
-def overlap_counts(essays: DataFrame, pairs: DataFrame) -> DataFrame:
+def overlap_counts(pairs: DataFrame) -> DataFrame:
     """Per split and source of the evaluation row: pairs, evaluation rows and training rows concerned, by reason."""
-    name = F.lower(F.trim(F.col("set_name")))
-    info = essays.select(F.col("essay_row").alias("eval_row"), name.alias("set_name"), F.coalesce(F.lower(F.trim("source")), F.lit("(none)")).alias("source")).dropDuplicates(["eval_row"])
-    return pairs.join(info, "eval_row").groupBy("set_name", "source").agg(
+    return pairs.groupBy("set_name", "source").agg(
         F.count("*").alias("n_pairs"), F.countDistinct("eval_row").alias("n_eval_rows"), F.countDistinct("train_row").alias("n_train_rows"),
         *(F.count(F.when(F.col(r), 1)).alias(f"n_{r}") for r in ("same_id", "same_text", "near_text")),
     )

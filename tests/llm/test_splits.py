@@ -1,9 +1,13 @@
 import random
+import re
+import unicodedata
 
+import numpy as np
 import pytest
 
 from lexweave.llm import splits as P
 
+WORD = re.compile(r"[a-z]+(?:['’][a-z]+)?")
 VOCAB = [a + b + c for a in "bcdfg" for b in "aeiou" for c in "nrt"]
 
 
@@ -19,12 +23,12 @@ def essays(seed=2):
         text = r.choice([" ", "  ", " "]).join(t)
         text = text.upper() if r.random() < 0.2 else text
         text = r.choice([text, text + ".", text, None if i % 40 == 0 else text, " " if i % 41 == 0 else text])
-        rows.append((i, r.choice(["a1", " A1", "b2", None, "", f"u{i}", f"u{i}"]), text, r.choice(["train", "Train ", "test", "VALIDATION", None, "dev"]), r.choice(["x", None]), i))
+        rows.append((i, r.choice(["a1", " A1", "b2", None, "", f"u{i}", f"u{i}"]), text, r.choice(["train", "Train\xa0", "test", "\u2003VALIDATION", None, "dev", "training"]), r.choice(["x", None]), i))
     return rows
 
 
 def brute(rows):
-    sets = [(r[0], (r[3] or "").strip().lower(), (r[1] or "").strip().lower(), P.text_form(r[2] or ""), P.words_of(r[2] or "")) for r in rows]
+    sets = [(r[0], (r[3] or "").strip().lower(), (r[1] or "").strip().lower(), P.text_form(r[2] or ""), WORD.findall(unicodedata.normalize("NFC", r[2] or "").lower())) for r in rows]
     grams = {s[0]: {tuple(s[4][k : k + 5]) for k in range(len(s[4]) - 4)} for s in sets}
     out = set()
     for a in sets:
@@ -46,8 +50,8 @@ def test_overlaps_are_exact(spark, monkeypatch, shard):
     got = [(r.train_row, r.eval_row) for r in pairs.collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
     near = pairs.filter("near_text").collect()
-    assert near and all(0.85 <= r.resemblance <= 1 and r.longest_match >= 5 for r in near)
-    counts = P.overlap_counts(df, pairs).collect()
+    assert near and all(0.85 <= r.resemblance <= 1 and 5 <= r.longest_match <= r.covered_words for r in near)
+    counts = P.overlap_counts(pairs).collect()
     assert sum(r.n_pairs for r in counts) == len(got)
 
 
@@ -58,15 +62,33 @@ def test_empty(spark):
     assert [(r.train_row, r.eval_row) for r in P.overlaps(one).collect()] == [(1, 2)]
 
 
+def test_words():
+    r = random.Random(4)
+    texts = ["", "don't", "a'b'c d’e’f''g", "'x' y'", "É e\u0301t\u00e9'a\nb'\nc", *("".join(r.choices("ab' ’\n.É", k=r.randint(0, 30))) for _ in range(300))]
+    h, doc = P.word_hashes(texts)
+    words = [(i, w) for i, t in enumerate(texts) for w in WORD.findall(unicodedata.normalize("NFC", t).lower())]
+    assert doc.tolist() == [i for i, _ in words]
+    known = dict(zip((w for _, w in words), h.tolist()))
+    assert [known[w] for _, w in words] == h.tolist() and len(set(known.values())) == len(known)
+
+
+def test_suffix_order():
+    r = np.random.default_rng(1)
+    for n in (1, 2, 7, 60):
+        for _ in range(20):
+            s = np.concatenate([r.integers(5, 8, n), [0], r.integers(5, 7, n), [1]])
+            assert P._suffix_order(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
 def test_backward_search_counts():
     texts = [w.split() for w in ("a b a b c a b", "b c a b a b a", "x")]
-    index = P.TextIndex.unpack(dict(P.TextIndex.pack([bytes([i]) * 16 for i in range(3)], [" ".join(t) for t in texts])))
-    import numpy as np
+    number = {w: np.uint64(i + 9) for i, w in enumerate("abcx")}
+    index = P.TextIndex.unpack(dict(P.TextIndex.pack([bytes([i]) * 16 for i in range(3)], [np.array([number[w] for w in t]) for t in texts])))
 
     def count(words):
         lo, hi = np.array([0]), np.array([index.n])
         for w in reversed(words):
-            lo, hi = index.step(lo, hi, index.ids([w]))
+            lo, hi = index.step(lo, hi, np.searchsorted(index.vocab, [number[w]]) + index.first_word)
         return int(hi[0] - lo[0])
 
     for n in (1, 2, 3):
