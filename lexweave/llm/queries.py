@@ -78,8 +78,8 @@ def p7_found(spark, sf):
 
 
 def p7_leaks(spark, sf):
-    """Passages of 24 words up to two word edits: altered leaks too."""
-    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), window=24, max_edits=2)
+    """Passages of 24 words up to two word edits, shorter items as a whole: altered leaks too."""
+    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), window=24, max_edits=2, short_items=True)
 
 
 def p7_items(spark, sf):
