@@ -12,8 +12,19 @@ def _parsed(spark, sf):
     return R.parse_lines(table(spark, sf, "tubelex_lines"), table(spark, sf, "tubelex_feeds"))
 
 
+def _assembled(spark, sf):
+    """The table as line-wise files: every line break inside a line cuts it in two, ``assemble`` joins what belongs together."""
+    lines = table(spark, sf, "tubelex_lines")
+    cut = lines.select("feed_id", F.col("line_id"), F.col("line_no"), F.posexplode(F.split("raw_line", "\n", -1)).alias("part", "raw_line"))
+    rows = cut.select((F.col("line_id") * 64 + F.col("part")).alias("line_id"), "feed_id", "line_no", "raw_line")
+    feeds = table(spark, sf, "tubelex_feeds")
+    parsed = R.parse_lines(R.assemble(rows, feeds), feeds)
+    return parsed.groupBy("feed_id").agg(F.count("*").alias("n_records"), F.count(F.when(F.col("reason").isNull(), 1)).alias("n_valid"))
+
+
 def queries():
     return {
+        "p3_assembled": _assembled,
         "p3_found": lambda s, d: R.failed_records(_parsed(s, d)).select("line_id"),
         "p3_failed": lambda s, d: R.failed_records(_parsed(s, d)),
         "p3_valid": lambda s, d: R.valid_records(_parsed(s, d)).withColumn(

@@ -6,7 +6,8 @@ typed field is built; field and consistency rules follow on the parsed fields.
 
 Defined results
 ---------------
-* ``null`` line: reason ``null_line``; unknown or null feed: ``unknown_feed``.
+* ``null`` line: reason ``null_line``; unknown or null feed: ``unknown_feed``; a feed without a header, or whose
+  delimiter is not one sign: ``bad_dialect``.
 * empty line: reason ``field_count`` (it has no field).
 * empty table: empty result with the same schema.
 * repeated lines and words are records like any other.
@@ -34,6 +35,7 @@ _BAD_WORD = re.compile(r"[\t\r\n]")
 REASONS = (
     "null_line",
     "unknown_feed",
+    "bad_dialect",
     "unclosed_quote",
     "text_after_quote",
     "line_break",
@@ -112,7 +114,7 @@ def field_reason(fields: list[str], width: int) -> tuple[list[int] | None, str |
     return numbers, None
 
 
-def _parser(dialects: dict[str, tuple[str, bool, list[str]]]):
+def _parser(dialects: dict[str, tuple[str, bool, list[str]] | None]):
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, feeds, nos, lines = (batch.column(i).to_pylist() for i in range(4))
@@ -124,9 +126,9 @@ def _parser(dialects: dict[str, tuple[str, bool, list[str]]]):
                 elif feed not in dialects:
                     reason = "unknown_feed"
                 else:
-                    delim, quoted, names = dialects[feed]
-                    fields, reason = split_record(line, delim, quoted)
+                    fields, reason = (None, "bad_dialect") if dialects[feed] is None else split_record(line, *dialects[feed][:2])
                     if reason is None:
+                        names = dialects[feed][2]
                         numbers, reason = field_reason(fields, len(names) + 4)
                 reasons.append(reason)
                 if numbers is None:
@@ -145,86 +147,82 @@ def _parser(dialects: dict[str, tuple[str, bool, list[str]]]):
     return parse
 
 
-def _open_quote(record: str, delim: str) -> bool:
-    """Does the record end inside a quoted field?"""
-    quoted, start = False, True
-    i, n = 0, len(record)
-    while i < n:
-        c = record[i]
-        if quoted:
-            if c == '"':
-                if record[i + 1 : i + 2] == '"':
-                    i += 1
-                else:
-                    quoted = False
-        elif c == '"' and start:
-            quoted = True
-        start = not quoted and c == delim
-        i += 1
-    return quoted
+#: A record over this many code points is not put together: its first line stands alone.
+MAX_RECORD = 2**27
 
 
-#: A quoted field may span at most this many physical lines; beyond, its first line stands alone.
-MAX_SPAN = 100
+def _lines_of_record(held: list[str], delim: str) -> int | None:
+    """How many of the held lines the first record takes: none while a quote is open, None where the strict reader fails."""
+    reader = csv.reader((f"{t}\n" for t in held), delimiter=delim, strict=True)
+    try:
+        next(reader, None)
+    except csv.Error as e:
+        return 0 if "unexpected end" in str(e) else None
+    return reader.line_num
 
 
 def assemble(lines: DataFrame, feeds: DataFrame) -> DataFrame:
     """Physical lines of files to records: lines are joined while a quote of a ``double`` feed is open.
 
-    For line-wise sources only, where a record may be cut at a line break inside quotes; a table
-    whose rows are records already goes to ``parse_lines`` as it is. A quote that is not closed
-    within ``MAX_SPAN`` lines (or by the end of the feed) is a fault of its own line: that line
-    becomes a record (which fails in parsing) and reading goes on with the next. The record has
-    the ``line_id`` and ``line_no`` of its first line. Lines stream past in order per feed; no
-    more than ``MAX_SPAN`` of them are held.
+    For line-wise sources, where a record may be cut at a line break inside quotes; a table whose rows are records
+    goes to ``parse_lines`` as it is. The strict reader itself takes the lines. Where it fails on a joined record,
+    or the feed (or ``MAX_RECORD``) ends inside a quote, the first line becomes a record (which fails in parsing) and
+    reading goes on with the next. The record has the ``line_id`` and ``line_no`` of its first line. Lines stream past
+    in order per feed; only those of the open record are held, and they are read again only when a line with a quote comes.
     """
-    rows = feeds.select("feed_id", "delim", "quote_mode").limit(MAX_FEEDS + 1).collect()
-    if len(rows) > MAX_FEEDS:
-        raise ValueError(f"more than {MAX_FEEDS} feed dialects")
-    delims = {r.feed_id: r.delim for r in rows if r.quote_mode == "double" and r.delim}
+    delims = {r.feed_id: r.delim for r in _dialects(feeds) if r.quote_mode == "double" and r.delim and len(r.delim) == 1}
     schema = pa.schema([("line_id", pa.int64()), ("feed_id", pa.string()), ("line_no", pa.int64()), ("raw_line", pa.string())])
 
-    def settle(held: list, delim: str | None, final: bool) -> tuple[list, list]:
-        """Records that are complete, and the lines still held."""
-        out = []
-        while held:
-            text, done = "", 0
-            for k, row in enumerate(held):
-                text = row[3] if k == 0 else f"{text}\n{row[3]}"
-                if row[3] is None or delim is None or not _open_quote(text, delim):
-                    done = k + 1
-                    break
-            if done:
-                first = held[0]
-                out.append((first[0], first[1], first[2], text))
-                held = held[done:]
-            elif final or len(held) >= MAX_SPAN:
-                out.append(held[0])
-                held = held[1:]
+    def settle(held: list, delim: str, final: bool, out: list) -> list:
+        """Move complete records to ``out``; the lines still held."""
+        at = 0
+        while at < len(held):
+            if '"' not in held[at][3]:
+                took = 1
             else:
-                break
-        return out, held
+                took = _lines_of_record([row[3] for row in held[at:]], delim)
+                if took == 0 and not final and sum(len(row[3]) for row in held[at:]) <= MAX_RECORD:
+                    break
+            took = took or 1
+            out.append((*held[at][:3], "\n".join(row[3] for row in held[at : at + took])))
+            at += took
+        return held[at:]
 
     def run(batches):
-        feed, held, fresh = None, [], True
+        feed, held, size = None, [], 0
         for b in batches:
             out = []
             for row in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if fresh or row[1] != feed:
-                    out += settle(held, delims.get(feed), True)[0]
-                    feed, held, fresh = row[1], [], False
+                if row[1] != feed or row[3] is None:
+                    if held:
+                        settle(held, delims[feed], True, out)
+                    feed, held, size = row[1], [], 0
+                if row[3] is None or feed not in delims or (not held and '"' not in row[3]):
+                    out.append(row)
+                    continue
                 held.append(row)
-                done, held = settle(held, delims.get(feed), False)
-                out += done
+                size += len(row[3])
+                if len(held) == 1 or '"' in row[3] or size > MAX_RECORD:
+                    held = settle(held, delims[feed], False, out)
+                    size = sum(len(r[3]) for r in held)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-        if out := settle(held, delims.get(feed), True)[0]:
+        out = []
+        if held:
+            settle(held, delims[feed], True, out)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     narrow = lines.select(F.col("line_id").cast("bigint"), "feed_id", F.col("line_no").cast("bigint"), F.col("raw_line").cast("string"))
     return narrow.repartition("feed_id").sortWithinPartitions("feed_id", "line_no", "line_id").mapInArrow(run, "line_id bigint, feed_id string, line_no bigint, raw_line string")
 
 
+def _dialects(feeds: DataFrame) -> list:
+    rows = feeds.select("feed_id", "delim", "quote_mode", "header_cols").limit(MAX_FEEDS + 1).collect()
+    if len(rows) > MAX_FEEDS:
+        raise ValueError(f"more than {MAX_FEEDS} feed dialects")
+    return rows
+
+
 def parse_lines(lines: DataFrame, feeds: DataFrame) -> DataFrame:
     """One row per line: typed fields where it is valid, else ``reason``.
 
@@ -232,14 +230,12 @@ def parse_lines(lines: DataFrame, feeds: DataFrame) -> DataFrame:
     quote_mode, header_cols`` and is small (at most ``MAX_FEEDS`` rows, checked). A header
     names ``word, count, videos, channels`` and then its categories.
     """
-    rows = feeds.select("feed_id", "delim", "quote_mode", "header_cols").limit(MAX_FEEDS + 1).collect()
-    if len(rows) > MAX_FEEDS:
-        raise ValueError(f"more than {MAX_FEEDS} feed dialects")
     dialects = {}
-    for r in rows:
-        if r.feed_id is None or not r.delim or r.header_cols is None:
+    for r in _dialects(feeds):
+        if r.feed_id is None:
             continue
-        dialects[r.feed_id] = (r.delim, r.quote_mode == "double", [c.removeprefix("count:") for c in r.header_cols[4:]])
+        usable = bool(r.delim) and len(r.delim) == 1 and r.delim not in '"\r\n' and r.header_cols is not None
+        dialects[r.feed_id] = (r.delim, r.quote_mode == "double", [(c or "").removeprefix("count:") for c in r.header_cols[4:]]) if usable else None
     narrow = lines.select(
         F.col("line_id").cast("bigint"), "feed_id", F.col("line_no").cast("bigint"), F.col("raw_line").cast("string")
     )

@@ -37,8 +37,24 @@ def test_too_many_feeds(spark, monkeypatch):
         R.parse_lines(spark.createDataFrame([], "line_id long, feed_id string, line_no long, raw_line string"), feeds)
 
 
-def test_assemble(spark, monkeypatch):
-    monkeypatch.setattr(R, "MAX_SPAN", 3)
+def test_bad_dialects(spark):
+    names = ["word", "count", "videos", "channels", "a"]
+    feeds = spark.createDataFrame([("two", "::", "double", names), ("quote", '"', "double", names), ("none", ",", "none", None), ("ok", ",", "none", names)], "feed_id string, delim string, quote_mode string, header_cols array<string>")
+    lines = spark.createDataFrame([(i, f, 0, "w,1,1,1,1") for i, f in enumerate(("two", "quote", "none", "ok"))], "line_id long, feed_id string, line_no long, raw_line string")
+    assert [r.reason for r in R.parse_lines(lines, feeds).orderBy("line_id").collect()] == ["bad_dialect"] * 3 + [None]
+    assert R.assemble(lines, feeds).count() == 4
+
+
+def test_long_records(spark, monkeypatch):
+    feeds = spark.createDataFrame(FEEDS, "feed_id string, delim string, quote_mode string, header_cols array<string>")
+    text = ['"w', *(f"line {i}" for i in range(500)), 'end",3,2,1,1,2', "x,3,2,1,1,2"]
+    lines = spark.createDataFrame([(i, "d", i, t) for i, t in enumerate(text)], "line_id long, feed_id string, line_no long, raw_line string")
+    assert {r.line_id: r.raw_line for r in R.assemble(lines, feeds).collect()} == {0: "\n".join(text[:-1]), 502: text[-1]}
+    monkeypatch.setattr(R, "MAX_RECORD", 1000)
+    assert R.assemble(lines, feeds).count() == 503
+
+
+def test_assemble(spark):
     feeds = spark.createDataFrame(FEEDS, "feed_id string, delim string, quote_mode string, header_cols array<string>")
     text = ["w,3,2,1,1,2", '"a', 'b",3,2,1,1,2', '"never', "x,3,2,1,1,2", "y,3,2,1,1,2", "z,3,2,1,1,2", 'q"q,3,2,1,1,2', '"end']
     rows = [(i, "d", i, t) for i, t in enumerate(text)] + [(100, "n", 0, '"'), (101, "n", 1, "b"), (102, None, 0, None)]
