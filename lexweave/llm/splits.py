@@ -147,10 +147,24 @@ def _suffix_order(s: np.ndarray) -> np.ndarray:
     return order
 
 
+#: Slots of a shard's sieve of word sequences: places that fall through it need no search.
+SIEVE = 1 << 24
+
+
+def gram_codes(words: np.ndarray) -> np.ndarray:
+    """Hashes of each SHINGLE words in a row."""
+    m = max(0, len(words) - SHINGLE + 1)
+    code = np.zeros(m, U64)
+    for j in range(SHINGLE):
+        code = mix(code ^ words[j : j + m])
+    return code
+
+
 class TextIndex:
     """Backward search over the words of a shard of evaluation texts."""
 
-    def __init__(self, vocab, places, first, docs, keys, grams, gram_at):
+    def __init__(self, vocab, places, first, docs, keys, grams, gram_at, sieve):
+        self.sieve = sieve
         self.vocab, self.n = vocab, len(places)
         symbol = np.repeat(np.arange(len(first) - 1), np.diff(first))
         self.occ = symbol * (self.n + 1) + places.astype(np.int64)  # occurrence lists, one after another
@@ -168,11 +182,16 @@ class TextIndex:
         word = np.ones(len(s), bool)
         word[np.cumsum(sizes) - 1] = False
         s[word] = ids + len(texts)
+        plain = np.zeros(len(s), U64)
+        plain[word] = vocab[ids]
+        left = np.cumsum(sizes)[doc] - np.arange(len(s)) - 1  # words up to the text's end
+        sieve = np.zeros(SIEVE, bool)
+        sieve[gram_codes(plain)[np.flatnonzero(left[: max(0, len(s) - SHINGLE + 1)] >= SHINGLE)] % U64(SIEVE)] = True
         order = _suffix_order(s)
         bwt = s[order - 1]  # the last suffix's predecessor wraps around to the last sign
         by = np.argsort(bwt, kind="stable")
         first = np.searchsorted(bwt[by], np.arange(len(texts) + len(vocab) + 1))
-        left = (np.cumsum(sizes)[doc] - np.arange(len(s)) - 1)[order]  # words up to the text's end
+        left = left[order]
         gram = np.zeros(len(s), U64)
         for j in range(SHINGLE):
             gram = mix(gram ^ np.roll(s, -j).astype(U64))
@@ -185,7 +204,7 @@ class TextIndex:
         delta = np.diff(by.astype(np.int64), prepend=0).astype(np.int32)
         parts = {
             "vocab": vocab.tobytes(), "places": delta.tobytes(), "first": first.astype(np.int64).tobytes(), "docs": doc[order].tobytes(),
-            "keys": b"".join(keys), "grams": glow.astype(np.int64).tobytes(), "gram_at": gram_at.astype(np.int64).tobytes(),
+            "sieve": np.packbits(sieve).tobytes(), "keys": b"".join(keys), "grams": glow.astype(np.int64).tobytes(), "gram_at": gram_at.astype(np.int64).tobytes(),
         }
         return [(k, zlib.compress(v, 1)) for k, v in parts.items()]
 
@@ -195,19 +214,25 @@ class TextIndex:
         keys = [raw["keys"][i : i + 16] for i in range(0, len(raw["keys"]), 16)]
         places = np.cumsum(np.frombuffer(raw["places"], np.int32), dtype=np.int64)
         wide = {k: np.frombuffer(raw[k], np.int64) for k in ("first", "grams", "gram_at")}
-        return cls(np.frombuffer(raw["vocab"], U64), places, wide["first"], np.frombuffer(raw["docs"], np.int32), keys, wide["grams"], wide["gram_at"])
+        return cls(np.frombuffer(raw["vocab"], U64), places, wide["first"], np.frombuffer(raw["docs"], np.int32), keys, wide["grams"], wide["gram_at"], np.unpackbits(np.frombuffer(raw["sieve"], np.uint8)).view(bool))
 
     def step(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the suffixes in [lo, hi) preceded by the symbol."""
         base = symbol * (self.n + 1)
         return np.searchsorted(self.occ, base + lo), np.searchsorted(self.occ, base + hi)
 
-    def intervals(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of a block of texts at which an indexed run of SHINGLE words begins, and the interval of suffixes of each."""
-        at = np.minimum(np.searchsorted(self.vocab, words), len(self.vocab) - 1)
-        ids = np.where(self.vocab[at] == words, at + self.first_word, -1)
+    def intervals(self, words: np.ndarray, whole: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the places ``whole`` (with codes ``code``) begin an indexed run of SHINGLE words, and the interval of suffixes of each."""
+        at = whole[self.sieve[code % U64(SIEVE)]]
+        use = np.zeros(len(words), bool)
+        for j in range(SHINGLE):
+            use[at + j] = True
+        ids = np.full(len(words), -1, np.int64)
+        here = np.flatnonzero(use)
+        near = np.minimum(np.searchsorted(self.vocab, words[here]), len(self.vocab) - 1)
+        ids[here] = np.where(self.vocab[near] == words[here], near + self.first_word, -1)
         known = np.concatenate([[0], np.cumsum(ids >= 0)])
-        at = np.flatnonzero((known[SHINGLE:] - known[:-SHINGLE] == SHINGLE) & (doc[: len(doc) - SHINGLE + 1] == doc[SHINGLE - 1 :]))
+        at = at[known[at + SHINGLE] - known[at] == SHINGLE]
         last = ids[at + SHINGLE - 1]
         a, b = self.first[last], self.first[last + 1]  # suffixes that start with the last word
         for j in range(SHINGLE - 2, -1, -1):
@@ -231,15 +256,11 @@ class TextIndex:
         words, doc = np.concatenate([*texts, np.zeros(0, U64)]), np.repeat(np.arange(len(texts)), sizes)
         if len(words) < SHINGLE:
             return []
-        at, lo, hi = self.intervals(words, doc)
-        m = len(words) - SHINGLE + 1
-        code = np.zeros(m, U64)
-        for j in range(SHINGLE):
-            code = mix(code ^ words[j : j + m])
-        whole = np.flatnonzero(doc[:m] == doc[SHINGLE - 1 :])
-        order = np.lexsort((code[whole], doc[whole]))
-        c, d = code[whole][order], doc[whole][order]
-        distinct = np.bincount(d[np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])])] if len(c) else d, minlength=len(texts))
+        whole = np.flatnonzero(doc[: len(doc) - SHINGLE + 1] == doc[SHINGLE - 1 :])
+        code = gram_codes(words)[whole]
+        at, lo, hi = self.intervals(words, whole, code)
+        _, one = np.unique(code ^ mix(doc[whole].astype(U64) + U64(1)), return_index=True)
+        distinct = np.bincount(doc[whole][one], minlength=len(texts))
         start, begin = np.searchsorted(doc[at], np.arange(len(texts) + 1)), np.concatenate([[0], np.cumsum(sizes)])
         need = np.ceil(threshold * distinct - 1e-9)
         out = []
@@ -344,7 +365,7 @@ def near_copies(essays: DataFrame, keys: DataFrame, threshold: float = THRESHOLD
 def overlaps(essays: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """All pairs ``train_row, eval_row`` with the evaluation row's ``set_name`` and ``source``, the reasons ``same_id``,
     ``same_text``, ``near_text``, and where near the resemblance, the longest match and the words in merged matches."""
-    keys = materialize(split_keys(essays).dropDuplicates(["essay_row", "split", "id_key", "text_key"]), "split-keys")
+    keys = materialize(split_keys(essays), "split-keys")
     train = keys.filter("split = 'train'")
     held = keys.filter(F.col("split").isin(*EVAL_SETS))
     side = [F.col("essay_row").alias("eval_row"), F.col("split").alias("set_name"), F.coalesce("source", F.lit("(none)")).alias("source")]
