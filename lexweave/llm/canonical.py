@@ -10,14 +10,16 @@ brought to their plain form.
 Defined results
 ---------------
 * null stays null, an empty text empty; plain ASCII text is returned as it is.
-* a single non-Latin token that could be either (all letters have a look-alike) is taken
-  for Latin unless a neighbouring token is really written in that script.
+* a non-Latin token that could be either (all letters have a look-alike) is taken for Latin unless
+  it stands in a run of such tokens with one really written in that script, or the words really
+  written in it outnumber the Latin ones in its sentence (in its text, if the sentence has neither).
 * very long texts are handled whole; there is no state but a bounded token cache.
 * repeated rows are handled alike; extra columns are carried through.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from functools import lru_cache
@@ -46,6 +48,8 @@ _BACK = {s: {v: k for k, v in reversed(m.items())} for s, m in (("Cyrl", CYRILLI
 _SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Arabic", "Hebrew", "Devanagari", "Han", "Hiragana", "Katakana", "Hangul", "Georgian", "Thai")
 _SHORT = {"Latin": "Latn", "Cyrillic": "Cyrl", "Greek": "Grek", "Armenian": "Armn", "Cherokee": "Cher"}
 _SCX = [(_SHORT.get(s, s), regex.compile(rf"\p{{scx={s}}}")) for s in _SCRIPTS]
+#: Writing systems that mix scripts: their letters go together.
+_WRITTEN_WITH = {"Han": ("Jpan", "Kore"), "Hiragana": ("Jpan",), "Katakana": ("Jpan",), "Hangul": ("Kore",)}
 _NEUTRAL = regex.compile(r"[\p{scx=Common}\p{scx=Inherited}]")
 
 #: Scripts in which the joiners choose letter shapes, so that they are needed there.
@@ -120,7 +124,10 @@ def char_scripts(c: str) -> frozenset[str] | None:
         return frozenset(("Latn",)) if c.isalpha() else None
     if _NEUTRAL.match(c):
         return None
-    return frozenset(s for s, p in _SCX if p.match(c)) or frozenset(("other",))
+    found = frozenset(s for s, p in _SCX if p.match(c))
+    if not found:  # any other script by the first word of the character's name
+        found = frozenset((unicodedata.name(c, "unnamed").split()[0],))
+    return found | frozenset(x for s in found for x in _WRITTEN_WITH.get(s, ()))
 
 
 def resolved(token: str) -> frozenset[str] | None:
@@ -166,10 +173,42 @@ def _really(token: str, script: str) -> bool:
     return bool(s) and script in s and any(c not in LOOKALIKE and c.isalpha() for c in token)
 
 
+_SENTENCE = re.compile(r"[.!?…\n]")
+
+
+class _Context:
+    """Which words of a text are really of a script, and where its sentences are."""
+
+    def __init__(self, text: str, words: list):
+        self.words = [m.group() for m in words]
+        ends = [m.start() for m in _SENTENCE.finditer(text)]
+        self.sentence = [bisect.bisect(ends, m.start()) for m in words]
+
+    def latin(self, k: int) -> bool:
+        """A Latin word: all letters are, and it isn't made of look-alikes only."""
+        w = self.words[k]
+        return w.isascii() or "Latn" in (resolved(w) or ())
+
+    def kept(self, k: int, script: str) -> bool:
+        for step in (-1, 1):
+            i = k + step
+            while 0 <= i < len(self.words) and self.sentence[i] == self.sentence[k] and not self.latin(i):
+                if _really(self.words[i], script):
+                    return True
+                i += step
+        lo, hi = bisect.bisect_left(self.sentence, self.sentence[k]), bisect.bisect_right(self.sentence, self.sentence[k])
+        for span in (range(lo, hi), range(len(self.words))):
+            real = sum(_really(self.words[i], script) for i in span)
+            latin = sum(self.latin(i) for i in span)
+            if real or latin:
+                return real > latin
+        return False
+
+
 def _respell(text: str) -> str:
     words = list(_WORD.finditer(text))
     out, at = [], 0
-    turkish = None
+    turkish = context = None
     for k, m in enumerate(words):
         w = m.group()
         if w.isascii() or not _ALIKE.search(w):
@@ -178,9 +217,8 @@ def _respell(text: str) -> str:
         if kind == "keep" or new == w:
             continue
         if kind == "whole":
-            script = _SCRIPT[next(c for c in w if c in _SCRIPT)]
-            near = [words[i].group() for i in (k - 1, k + 1) if 0 <= i < len(words)]
-            if any(_really(x, script) for x in near):
+            context = context or _Context(text, words)
+            if context.kept(k, _SCRIPT[next(c for c in w if c in _SCRIPT)]):
                 continue
         if "ı" in w:
             if turkish is None:
@@ -289,3 +327,15 @@ def clean_lexicon(df: DataFrame) -> DataFrame:
     return df.select(F.col("entry_id").cast("bigint"), "form", "heads").mapInArrow(
         run, "entry_id bigint, form string, heads array<string>, changed boolean"
     )
+
+
+def form_to_heads(lexicon: DataFrame) -> DataFrame:
+    """``form, heads, n_entries``: the cleaned lexicon as one map. Entries of one form are merged, its distinct heads in the order
+    of the first entry that has them; null forms and heads are left out. Heads are made distinct before a form's are gathered."""
+    named = lexicon.filter("form is not null")
+    each = named.select("form", "entry_id", F.posexplode("heads").alias("at", "head")).filter("head is not null")
+    first = each.groupBy("form", "head").agg(F.min(F.struct("entry_id", "at")).alias("o"))
+    heads = first.groupBy("form").agg(F.array_sort(F.collect_list(F.struct("o.entry_id", "o.at", "head"))).alias("l"))
+    counts = named.groupBy("form").agg(F.count("*").alias("n_entries"))
+    found = F.coalesce(F.transform("l", lambda x: x["head"]), F.array().cast("array<string>"))
+    return counts.join(heads, "form", "left").select("form", found.alias("heads"), "n_entries")

@@ -29,6 +29,10 @@ def p2_lexicon(spark, sf):
     return canonical.clean_lexicon(table(spark, sf, "flemma_forms")).withColumn("heads", F.array_join("heads", "|"))
 
 
+def p2_form_to_heads(spark, sf):
+    return canonical.form_to_heads(canonical.clean_lexicon(table(spark, sf, "flemma_forms"))).withColumn("heads", F.array_join("heads", "|"))
+
+
 def p2_documents(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return canonical.clean_texts(docs).select("doc_id", F.sha2("text", 256).alias("text_sha"), F.length("text").alias("n_chars"))
@@ -100,7 +104,7 @@ def p8_coverage(spark, sf):
     return spans.coverage(spans.index_batches(docs), docs)
 
 
-_QUERIES = (p1_found, p1_counts, p4_levels, p4_quality, p4_profile, p5_found, p5_redacted, p5_kinds, p6_packed, p6_fill, p2_found, p2_lexicon, p2_documents, p7_found, p7_leaks, p7_items, p8_found, p8_stretches, p8_coverage)
+_QUERIES = (p1_found, p1_counts, p4_levels, p4_quality, p4_profile, p5_found, p5_redacted, p5_kinds, p6_packed, p6_fill, p2_found, p2_lexicon, p2_form_to_heads, p2_documents, p7_found, p7_leaks, p7_items, p8_found, p8_stretches, p8_coverage)
 
 
 def queries():

@@ -46,9 +46,14 @@ FOREIGN = {
 CLAUSE = "although because whereas which while until after before since unless though if when that who whose whom where despite regardless".split()
 LINKS = "however moreover therefore consequently nevertheless furthermore contrast respect accordance virtue lieu behalf token addition hence thus".split()
 
+PREPOSITIONS = "of in to for with on at by from about into through during against between among within without under over toward across beyond despite concerning".split()
+PRONOUNS = "i you he she it we they me him them us my your his its our their this these those".split()
+BE = "is are was were be been being am".split()
+
 FEATURES = (
     "mean_letters", "long_share", "longest_share", "rare_share", "unknown_share", "mean_log_rank", "first_band", "high_band", "types", "hapax",
     "sentence_words", "clause_rate", "link_rate", "comma_rate", "semicolon_rate", "function_share", "of_rate", "long_unknown", "suffix_rate", "letters_sd",
+    "passive_rate", "preposition_rate", "pronoun_rate", "participle_rate", "phrase_words", "opening_clause", "clauses_a_sentence",
 )
 
 
@@ -65,7 +70,7 @@ class Lexicon:
         order = np.argsort(h)
         self.hash, self.rank = h[order], np.array([r for _, r in keep], np.float64)[order]
         self.top = float(self.rank.max()) if len(self.rank) else 1.0
-        self.sets = {name: np.sort(word_hashes(words)) for name, words in (("en", ENGLISH), ("clause", CLAUSE), ("link", LINKS), ("of", ["of"]))}
+        self.sets = {name: np.sort(word_hashes(words)) for name, words in (("en", ENGLISH), ("clause", CLAUSE), ("link", LINKS), ("of", ["of"]), ("prep", PREPOSITIONS), ("pron", PRONOUNS), ("be", BE))}
 
     def ranks(self, h: np.ndarray) -> np.ndarray:
         if not len(self.hash):
@@ -138,6 +143,17 @@ def features(texts: list[str], lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
         commas / safe, semis / safe, share(lex.member("en", h)), share(lex.member("of", h)), share(unknown & (size >= 9)), share(np.isin(last3, suffixes) & (size >= 6)),
         np.sqrt(np.maximum(square - mean * mean, 0)),
     ]
+    # word order: forms of be before a participle, lengths of the stretches between function words, clauses that open a sentence
+    known_sign = lex.member("en", h) | lex.member("prep", h) | lex.member("pron", h) | clause
+    last2 = last3 & 0xFFFF
+    participle = (size >= 5) & np.isin(last2, [int.from_bytes(s, "big") for s in (b"ed", b"en")])
+    before = lambda mask: np.concatenate([[False], mask[:-1] & (doc[1:] == doc[:-1])]) if len(mask) else mask
+    gap = raw[np.maximum(w.start - 2, 0)] if len(h) else np.zeros(0, np.uint8)
+    opening = clause & (np.isin(gap, [33, 46, 63]) | (w.start == w.bounds[doc])) if len(h) else clause
+    cols += [
+        share(participle & before(lex.member("be", h))), share(lex.member("prep", h)), share(lex.member("pron", h)), share(participle | ((size >= 6) & (last3 == int.from_bytes(b"ing", "big")))),
+        safe / np.maximum(np.bincount(doc, known_sign, n_docs), 1), share(opening), np.where(stops > 0, np.bincount(doc, clause, n_docs) / np.maximum(stops, 1), np.nan),
+    ]
     return n, np.stack(cols, axis=1)
 
 
@@ -171,19 +187,24 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b[1] / b[2] for b in blocks]), np.array([b[0] / b[2] for b in blocks])
 
 
-def fit(x: np.ndarray, grade: np.ndarray, seed: int = 5, ridge: float = 1e-3) -> Ranker:
-    """Pairs of different grades, ``PARTNERS`` for each document; Newton steps on the weighted logistic loss."""
-    mean, sd = np.nanmean(x, axis=0), np.nanstd(x, axis=0)
-    mean, sd = np.nan_to_num(mean), np.where(np.nan_to_num(sd) > 1e-9, np.nan_to_num(sd), 1.0)
+def _standard(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
     z = (x - mean) / sd
-    z = np.where(np.isnan(z), 0, np.clip(z, -5, 5))
+    return np.where(np.isnan(z), 0, np.clip(z, -5, 5))
+
+
+def _rank_weights(x: np.ndarray, grade: np.ndarray, seed: int, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Mean, deviation and weights (scores of unit deviation): pairs of different grades, ``PARTNERS`` for each document; Newton steps
+    on the weighted logistic loss. None where all grades are equal."""
+    mean, sd = np.nan_to_num(np.nanmean(x, axis=0)), np.nan_to_num(np.nanstd(x, axis=0))
+    sd = np.where(sd > 1e-9, sd, 1.0)
+    z = _standard(x, mean, sd)
     rng = np.random.default_rng(seed)
     i = np.repeat(np.arange(len(z)), PARTNERS)
     j = rng.integers(0, len(z), len(i))
     ok = grade[i] != grade[j]
     i, j = i[ok], j[ok]
     if not len(i):
-        return Ranker(mean, sd, np.zeros(z.shape[1]), np.zeros(0), np.zeros(0))
+        return None
     swap = grade[i] < grade[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
     d, weight = z[i] - z[j], grade[i] - grade[j]
@@ -196,8 +217,21 @@ def fit(x: np.ndarray, grade: np.ndarray, seed: int = 5, ridge: float = 1e-3) ->
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    kx, ky = isotonic(z @ w, grade)
-    return Ranker(mean, sd, w, kx, ky)
+    return mean, sd, w / max(float((z @ w).std()), 1e-9)
+
+
+def fit(x: np.ndarray, grade: np.ndarray, seed: int = 5, ridge: float = 1e-3, folds: int = 5) -> Ranker:
+    """The pairwise ranker, and levels by isotonic regression on scores of documents that a ranker was not fitted on."""
+    whole = _rank_weights(x, grade, seed, ridge) if len(x) else None
+    if whole is None:
+        return Ranker(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros(x.shape[1]), np.zeros(0), np.zeros(0))
+    fold = np.random.default_rng(seed).permutation(len(x)) % folds
+    score = _standard(x, *whole[:2]) @ whole[2]
+    for k in range(folds):
+        rest, here = fold != k, fold == k
+        if here.any() and rest.sum() > folds and (part := _rank_weights(x[rest], grade[rest], seed, ridge)) is not None:
+            score[here] = _standard(x[here], *part[:2]) @ part[2]
+    return Ranker(*whole, *isotonic(score, grade))
 
 
 def lexicon(ranks: DataFrame) -> Lexicon:
