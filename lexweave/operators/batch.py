@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.operators import diversity as D
+from lexweave.operators.ordered import running
 
 MAX_GROUPS = 2000
 CAUSES = (
@@ -58,22 +58,25 @@ def off_list_top(rows: DataFrame, n: int = 25) -> DataFrame:
     return rows.groupBy("head").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "head").limit(n)
 
 
-def overlap(tokens: DataFrame, group: str, ordered_pairs: bool = True) -> DataFrame:
+def overlap(tokens: DataFrame, group: str, ordered_pairs: bool = True, zeros: bool = False) -> DataFrame:
     """Shared vocabulary of every two groups, with itself and in both orders, or each pair once.
 
-    The number of groups is bounded (``MAX_GROUPS``, checked): the result is their square and
-    does not follow the data. Words are made distinct per group first; unions follow from counts.
+    Words are made distinct per group first; unions follow from counts. Groups without a common word are left out, so
+    that any number of groups can be compared; ``zeros`` adds those pairs, the whole matrix, which is refused over
+    ``MAX_GROUPS`` groups, as its square does not follow the data.
     """
     types = tokens.select(group, "token").distinct()
     sizes = types.groupBy(group).agg(F.count("*").alias("k"))
-    if sizes.limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
     a, b = types.select(F.col(group).alias("a"), "token"), types.select(F.col(group).alias("b"), "token")
     cond = F.col("a") <= F.col("b")
     shared = a.join(b, "token").filter(cond).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    small = F.broadcast(sizes)
-    grid = small.select(F.col(group).alias("a"), F.col("k").alias("ka")).join(small.select(F.col(group).alias("b"), F.col("k").alias("kb")), cond)
-    half = grid.join(shared, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    ka, kb = sizes.select(F.col(group).alias("a"), F.col("k").alias("ka")), sizes.select(F.col(group).alias("b"), F.col("k").alias("kb"))
+    if zeros:
+        if sizes.limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
+            raise ValueError(f"more than {MAX_GROUPS} groups: leave out the pairs without a common word")
+        half = F.broadcast(ka).join(F.broadcast(kb), cond).join(shared, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    else:
+        half = shared.join(ka, "a").join(kb, "b")
     union = F.col("ka") + F.col("kb") - F.col("shared")
     if not ordered_pairs:
         return half.filter("a < b").select(
@@ -131,6 +134,6 @@ def pivot(rows: DataFrame, keys: list[str], column: str, value: str, values: lis
 
 
 def ordinal_labels(df: DataFrame, order: str) -> DataFrame:
-    """``Document 001`` .. by order, for tables small enough to be numbered; the name is dropped."""
-    n = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(order))
-    return df.withColumn("document", F.format_string("Document %03d", n))
+    """``Document 001`` .. by ``order``, which is unique; the name is dropped."""
+    numbered = running(df, [order], F.lit(1), "_before_it")
+    return numbered.withColumn("document", F.format_string("Document %03d", F.col("_before_it") + 1)).drop("_before_it")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexweave.operators.ordered import running
 from lexweave.session import small_or_not
 
 
@@ -91,26 +92,34 @@ def dispersion(tokens: DataFrame, part: str) -> DataFrame:
 def corpus_positions(tokens: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Adds ``place``: the token's place in the corpus, documents in order of their key.
 
-    The running total goes over one row per document in blocks of keys, not over the tokens.
+    The running total goes over one row per document in ranges of keys, not over the tokens.
     """
-    per = tokens.groupBy(doc).agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col(doc) / 1024))
-    blocks = per.groupBy("block").agg(F.sum("n").alias("bn"))
-    start = blocks.select("block", (F.sum("bn").over(W.partitionBy(F.lit(1)).orderBy("block")) - F.col("bn")).alias("b0"))
-    inner = F.sum("n").over(W.partitionBy("block").orderBy(doc)) - F.col("n")
-    offset = per.withColumn("d0", inner).join(small_or_not(start), "block").select(doc, (F.col("b0") + F.col("d0")).alias("offset"))
+    per = tokens.groupBy(doc).agg(F.count("*").alias("n"))
+    offset = running(per, [doc], F.col("n"), "offset").select(doc, "offset")
     return tokens.join(offset, doc).withColumn("place", F.col("offset") + F.col("pos") - 1)
 
 
+#: Places of one block of the corpus, within which the gaps of a word are looked at together.
+GAP_BLOCK = 1 << 20
+
+
 def reduced_frequency(tokens: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Average reduced frequency per word, with cyclic gaps."""
-    placed = corpus_positions(tokens, doc)
+    """Average reduced frequency per word, with cyclic gaps.
+
+    Gaps are taken per word and block of places, and stitched over one row per word and block, so that a common word is
+    spread over all blocks; what comes together for a word is one row per distinct gap.
+    """
+    placed = corpus_positions(tokens, doc).select("token", "place", F.floor(F.col("place") / GAP_BLOCK).alias("block"))
     total = F.broadcast(tokens.agg(F.count("*").alias("N")))
-    w = W.partitionBy("token").orderBy("place")
-    whole = W.partitionBy("token")
-    x = placed.select("token", "place", F.lead("place").over(w).alias("after"), F.min("place").over(whole).alias("first"), F.count("*").over(whole).alias("f")).crossJoin(total)
-    gap = F.coalesce("after", F.col("first") + F.col("N")) - F.col("place")
+    after = F.lead("place").over(W.partitionBy("token", "block").orderBy("place"))
+    inner = placed.select("token", (after - F.col("place")).alias("gap")).filter("gap is not null")
+    edges = placed.groupBy("token", "block").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).crossJoin(total)
+    word = W.partitionBy("token")
+    following = F.coalesce(F.lead("lo").over(word.orderBy("block")), F.min("lo").over(word) + F.col("N"))
+    gaps = inner.unionByName(edges.select("token", (following - F.col("hi")).alias("gap"))).groupBy("token", "gap").agg(F.count("*").alias("c"))
+    x = gaps.withColumn("f", F.sum("c").over(word)).crossJoin(total)
     v = F.col("N") / F.col("f")
-    return x.groupBy("token").agg(F.max("f").alias("frequency"), (F.sum(F.least(gap.cast("double"), v)) / F.max(v)).alias("arf"))
+    return x.groupBy("token").agg(F.max("f").alias("frequency"), (F.sum(F.col("c") * F.least(F.col("gap").cast("double"), v)) / F.max(v)).alias("arf"))
 
 
 def equal_parts(tokens: DataFrame, n_parts: int, doc: str = "doc_id") -> DataFrame:
@@ -135,10 +144,10 @@ def range_measures(tokens: DataFrame, n_parts: int, doc: str = "doc_id") -> Data
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Mann-Whitney AUC with mid-ranks: one row ``n1, n0, auc``.
 
-    Ranks come from counts per distinct score, so ties are one row; the running sum is over those.
+    Ranks come from counts per distinct score, so ties are one row; the running sum is over ranges of those.
     """
     per = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.count("*").alias("n"), F.count(F.when(F.col(label), 1)).alias("p"))
-    run = per.withColumn("below", F.sum("n").over(W.partitionBy(F.lit(1)).orderBy(score)) - F.col("n"))
+    run = running(per, [score], F.col("n"), "below")
     mid = F.col("below") + (F.col("n") + 1) / 2
     a = run.agg(F.sum("p").alias("n1"), F.sum(F.col("n") - F.col("p")).alias("n0"), F.sum(F.col("p") * mid).alias("r"))
     n1, n0 = F.col("n1"), F.col("n0")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from lexweave.session import materialize
+
 
 def fold(df: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple[object, dict | None]], schema: str) -> DataFrame:
     """One output row (or none) per input row, from ``step(state, row)``.
@@ -34,3 +37,16 @@ def fold(df: DataFrame, key: str, order: list[str], start: Callable[[], object],
                 yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def running(df: DataFrame, order: list[str], amount: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``amount`` over all rows before a row in ``order``, which is unique.
+
+    Rows are cut into ranges of the order and written; sums go over each range and over one row per range, so no task
+    sees more than its range, whatever the keys are (numbers with gaps, hashes, names).
+    """
+    placed = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy("_range").agg(F.sum(amount).alias("_sum"))
+    before = sums.select("_range", (F.sum("_sum").over(Window.partitionBy(F.lit(1)).orderBy("_range")) - F.col("_sum")).alias("_before"))
+    inner = F.sum(amount).over(Window.partitionBy("_range").orderBy(*order)) - amount
+    return placed.withColumn(name, inner).join(F.broadcast(before), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")

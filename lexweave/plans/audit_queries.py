@@ -128,7 +128,15 @@ def guard_decisions(spark, sf):
     return rounded(U.decisions(U.once(table(spark, sf, "guard_requests"))).drop("at", "too_short"))
 
 
-@R.query()
+_FILE = "{'f': %s, 'b': %s, 'u': %s, 'n': %s, 'o': %s}"
+_SAID = "CASE WHEN x.b > 20000 THEN 'too_large' WHEN a.u + x.b > 500000 THEN 'over_total' WHEN a.n >= 200 THEN 'over_number' ELSE 'taken' END"
+_USED = f"a.u + CASE WHEN {_SAID} = 'taken' THEN x.b ELSE 0 END"
+_NONE = "[]::STRUCT(file BIGINT, bytes BIGINT, status VARCHAR, used BIGINT)[]"
+
+
+@R.query(f"""WITH q AS (SELECT coalesce(topic_id, '(none)') AS request, list({_FILE % ('doc_id', 'coalesce(strlen(text), 0)::BIGINT', '0::BIGINT', '0::BIGINT', _NONE)} ORDER BY doc_id) AS l FROM documents GROUP BY 1),
+ z AS (SELECT request, unnest(list_reduce(l, lambda a, x: {_FILE % ('x.f', 'x.b', _USED, f"a.n + CASE WHEN {_SAID} = 'taken' THEN 1 ELSE 0 END", f"list_append(a.o, {{'file': x.f, 'bytes': x.b, 'status': {_SAID}, 'used': {_USED}}})")}, {_FILE % ('0::BIGINT', '0::BIGINT', '0::BIGINT', '0::BIGINT', _NONE)}).o) AS e FROM q)
+ SELECT request, e.file AS file, e.bytes AS bytes, e.status AS status, e.used AS used FROM z""")
 def upload_budget(spark, sf):
     """Each topic stands for a request."""
     docs = table(spark, sf, "documents").select(F.coalesce("topic_id", F.lit("(none)")).alias("topic"), "doc_id", F.octet_length("text").alias("bytes"))

@@ -71,8 +71,11 @@ def frequency_spectrum(spark, sf):
     return D.spectrum(toks(spark, sf), KEYS)
 
 
-@R.query(with_toks("""SELECT doc_id, round(avg(v / l), 6) AS msttr FROM (SELECT doc_id, (pos - 1) // l AS seg, l, count(*) AS n, count(DISTINCT token)::DOUBLE AS v
- FROM (SELECT *, least(50, count(*) OVER (PARTITION BY doc_id)) AS l FROM toks) GROUP BY ALL) WHERE n = l GROUP BY doc_id"""))
+_MSTTR = """SELECT doc_id, round(avg(v / l), 6) AS msttr FROM (SELECT doc_id, (pos - 1) // l AS seg, l, count(*) AS n, count(DISTINCT token)::DOUBLE AS v
+ FROM (SELECT *, least(50, count(*) OVER (PARTITION BY doc_id)) AS l FROM toks) GROUP BY ALL) WHERE n = l GROUP BY doc_id"""
+
+
+@R.query(with_toks(_MSTTR))
 def msttr(spark, sf):
     return rounded(D.msttr(toks(spark, sf), KEYS))
 
@@ -132,7 +135,8 @@ def effective_min_tokens(spark, sf):
     return counts.select("doc_id", "n", F.inline(need)).select("doc_id", "index_key", "required", (F.col("n") >= F.col("required")).alias("enough"))
 
 
-@R.query()
+@R.query(with_toks(f"""WITH {_MTLD}, ba AS ({_BASIC.removeprefix(with_toks('').rstrip())}), ms AS ({_MSTTR}), ma AS ({_MATTR}), hd AS ({_HDD})
+ SELECT ba.*, msttr, mattr, round(coalesce((x + y) / 2, x, y), 6) AS mtld, hdd FROM ba LEFT JOIN ms USING (doc_id) LEFT JOIN ma USING (doc_id) LEFT JOIN hd USING (doc_id) LEFT JOIN r USING (doc_id)"""))
 def panel_a(spark, sf):
     return rounded(D.panel_a(toks(spark, sf), KEYS))
 

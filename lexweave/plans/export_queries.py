@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexweave.config import AnalysisConfig
 from lexweave.functions import text as T
+from lexweave.operators import batch as B
 from lexweave.operators import diversity as D
 from lexweave.operators import export as E
 from lexweave.operators import profile as P
@@ -80,13 +81,9 @@ def stream_basic(spark, sf):
 
 @R.query("SELECT d.doc_id, format('Document {:03d}', row_number() OVER (ORDER BY doc_id)) AS document FROM documents d")
 def document_labels(spark, sf):
-    """Labels by order of id: ordinals from counts per block of ids, so no single task orders all rows."""
-    from pyspark.sql import Window as W
-
-    ids = table(spark, sf, "documents").select("doc_id").withColumn("block", F.floor(F.col("doc_id") / 4096))
-    before = ids.groupBy("block").agg(F.count("*").alias("n")).select("block", (F.sum("n").over(W.partitionBy(F.lit(1)).orderBy("block")) - F.col("n")).alias("b0"))
-    n = F.row_number().over(W.partitionBy("block").orderBy("doc_id")) + F.col("b0")
-    return ids.join(before, "block").select("doc_id", F.format_string("Document %03d", n).alias("document"))
+    """Labels by order of id: ordinals from counts per range of ids, so no single task orders all rows."""
+    ids = table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("order"))
+    return B.ordinal_labels(ids, "order").select("doc_id", "document")
 
 
 @R.query()

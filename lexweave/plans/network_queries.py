@@ -153,12 +153,12 @@ _TYPES = with_toks("WITH ty AS (SELECT DISTINCT coalesce(lower(trim(source)), '(
 
 @R.query(_TYPES + " SELECT x.part AS document_a, y.part AS document_b, coalesce(s, 0)::BIGINT AS shared_types, (x.k + y.k - coalesce(s, 0))::BIGINT AS union_types, round(coalesce(s, 0)::DOUBLE / (x.k + y.k - coalesce(s, 0)), 6) AS jaccard FROM k x CROSS JOIN k y LEFT JOIN sh ON sh.a = x.part AND sh.b = y.part")
 def overlap_matrix(spark, sf):
-    return rounded(B.overlap(parted(spark, sf), "part"))
+    return rounded(B.overlap(parted(spark, sf), "part", zeros=True))
 
 
 @R.query(_TYPES + " SELECT x.part AS document_a, y.part AS document_b, coalesce(s, 0)::BIGINT AS shared_types, (x.k - coalesce(s, 0))::BIGINT AS a_only_types, (y.k - coalesce(s, 0))::BIGINT AS b_only_types, (x.k + y.k - coalesce(s, 0))::BIGINT AS union_types, round(coalesce(s, 0)::DOUBLE / (x.k + y.k - coalesce(s, 0)), 6) AS jaccard FROM k x JOIN k y ON x.part < y.part LEFT JOIN sh ON sh.a = x.part AND sh.b = y.part")
 def overlap_pairs(spark, sf):
-    return rounded(B.overlap(parted(spark, sf), "part", ordered_pairs=False))
+    return rounded(B.overlap(parted(spark, sf), "part", ordered_pairs=False, zeros=True))
 
 
 @R.query(sql(f"SELECT doc_id, " + ", ".join(f"nullif(count(*) FILTER (level = {k}), 0)::BIGINT AS K{k}" for k in range(1, LEVELS + 1)) + " FROM mapped GROUP BY doc_id"))

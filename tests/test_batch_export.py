@@ -19,12 +19,20 @@ def test_off_list_causes(spark):
 
 def test_overlap(spark, monkeypatch):
     t = spark.createDataFrame([("a", w) for w in ("alpha", "beta", "xray", "beta")] + [("b", w) for w in ("alpha", "gamma")] + [("c", "zz")], "g string, token string")
-    rows = {(r.document_a, r.document_b): r for r in B.overlap(t, "g").collect()}
+    rows = {(r.document_a, r.document_b): r for r in B.overlap(t, "g", zeros=True).collect()}
     assert len(rows) == 9 and rows["b", "a"].jaccard == 0.25 and rows["a", "b"].union_types == 4 and rows["a", "a"].jaccard == 1 and rows["c", "a"].shared_types == 0
-    assert B.overlap(t, "g", ordered_pairs=False).count() == 3
+    assert B.overlap(t, "g", ordered_pairs=False, zeros=True).count() == 3
     monkeypatch.setattr(B, "MAX_GROUPS", 2)
     with pytest.raises(ValueError):
-        B.overlap(t, "g")
+        B.overlap(t, "g", zeros=True)
+    sparse = {(r.document_a, r.document_b): r for r in B.overlap(t, "g").collect()}  # beyond the bound: all pairs but those without a common word
+    assert sparse == {k: r for k, r in rows.items() if r.shared_types} and len(sparse) == 5
+
+
+def test_ordinals_of_any_keys(spark):
+    names = [f"n{(i * 7919) % 1000:04d}" for i in range(300)]
+    got = {r.n: r.document for r in B.ordinal_labels(spark.createDataFrame([(n, n) for n in names], "n string, k string"), "k").collect()}
+    assert got == {n: f"Document {i + 1:03d}" for i, n in enumerate(sorted(names))}
 
 
 def test_scores_and_flags(spark):
