@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.plans import audit_queries, corpus_queries, diversity_queries, export_queries, network_queries, profile_queries, records_queries
+from lexweave.plans import audit_queries, corpus_queries, diversity_queries, export_queries, network_queries, profile_queries, records_queries, source_queries
 
-_MODULES = (records_queries, diversity_queries, profile_queries, corpus_queries, network_queries, audit_queries, export_queries)
+_MODULES = (records_queries, diversity_queries, profile_queries, corpus_queries, network_queries, audit_queries, export_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
