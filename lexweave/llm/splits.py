@@ -8,10 +8,12 @@ the interval of suffixes that start with the ``SHINGLE`` words there; places in
 evaluation text has make a maximal match with it. The matches are merged, the distinct shingles
 within them counted, and this count decides whether the pair is near.
 
-Scale: only the evaluation side is indexed, in shards of about ``SHARD_WORDS`` words, built
-in parallel and read by the tasks from the shared folder one at a time. Training rows are
-never shuffled. Identical evaluation texts are indexed once. A text is compared with another
-only if one of its rarest shingles, as many as the similarity can spare and one, is shared.
+Scale: an evaluation side of up to ``SHARD_WORDS`` words is indexed as a whole, the tasks read
+the index from the shared folder and training rows are not shuffled. Identical evaluation texts
+are indexed once. A larger evaluation side takes no index, as each shard would be a pass over
+all training rows: the rarest shingles of each text, as many as the similarity can spare and
+``SHARED``, are joined, and only texts that share ``SHARED`` are compared, by their maximal matches. With the
+index a text is compared with another only if one of its rarest shingles is shared.
 
 Defined results
 ---------------
@@ -38,11 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.arrays import U64, codes, mix, prefix_hash, record_batch, span_hash
-from lexweave.session import materialize, work_path
+from lexweave.session import materialize, small_or_not, work_path
 
 SHINGLE = 5
 THRESHOLD = 0.85
 SHARD_WORDS = 6_000_000
+#: Rare shingles that two texts must share to be compared, where an index is too large.
+SHARED = 3
+#: At most 2**COUNT_BITS bytes in a task tell how common shingles are.
+COUNT_BITS = 25
 EVAL_SETS = ("test", "validation")
 
 _SPACE = re.compile(r"\s+")
@@ -294,6 +300,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def held_words(keys: DataFrame) -> int:
+    """Words of the evaluation texts."""
+    return keys.filter(F.col("word_key").isNotNull()).agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+
+
 def build_index(essays: DataFrame, keys: DataFrame) -> tuple[str, int]:
     """Write the index shards of all distinct evaluation texts; their folder and number."""
 
@@ -306,8 +317,7 @@ def build_index(essays: DataFrame, keys: DataFrame) -> tuple[str, int]:
                 each = [w.tobytes() for w in _per_text(held) if len(w) >= SHINGLE]
                 yield record_batch(schema, [[_digest(w) for w in each], each])
 
-    total = keys.filter(F.col("word_key").isNotNull()).agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    n_shards = max(1, math.ceil(total / SHARD_WORDS))
+    n_shards = max(1, math.ceil(held_words(keys) / SHARD_WORDS))
 
     def pack(table: pa.Table) -> pa.Table:
         shard = table.column(0)[0].as_py()
@@ -340,26 +350,171 @@ _NEAR = pa.schema([("train_row", pa.int64()), ("word_key", pa.binary()), ("share
 _NEAR_SQL = "train_row bigint, word_key binary, shared int, united int, longest int, covered_words int"
 
 
+def _prefix_size(n: int, threshold: float) -> int:
+    """So many first shingles, in an order that all texts share, have ``SHARED`` in common (or all that must be common) if the texts have ``threshold`` resemblance."""
+    return min(n, n - math.ceil(threshold * n - 1e-9) + SHARED)
+
+
+_GRAMS = pa.schema([("gram", pa.int64()), ("row", pa.int64()), ("n", pa.int32())])
+
+
+def _texts_of(rows: DataFrame, held: bool) -> DataFrame:
+    """The rows that may be of one side, by the same loose test as ``_rows``; Python decides."""
+    near = F.lower("set_name")
+    some = near.contains(EVAL_SETS[0]) | near.contains(EVAL_SETS[1]) if held else near.contains("train")
+    return rows.filter(some & F.col("full_text").isNotNull() & F.col("essay_row").isNotNull())
+
+
+#: Texts of a block: their number and a count of a byte make a key of 16 bits.
+_BLOCK = 128
+
+
+def _grams_of(batches, held: bool):
+    """For blocks of texts of one side: their rows, the number of distinct shingles of each, and these, sorted by text and code."""
+    for b in batches:
+        for at in range(0, b.num_rows, _BLOCK):
+            row, name, text = (c.to_pylist() for c in b.slice(at, _BLOCK).columns)
+            keep = [i for i in range(len(row)) if (_split(name[i]) in EVAL_SETS if held else _split(name[i]) == "train")]
+            if not keep:
+                continue
+            words, doc = word_hashes([text[i] for i in keep])
+            code = gram_codes(words)
+            whole = doc[: len(code)] == doc[SHINGLE - 1 :]
+            code, doc = code[whole], doc[: len(code)][whole]
+            cut = np.searchsorted(doc, np.arange(len(keep) + 1))
+            for i in range(len(keep)):
+                code[cut[i] : cut[i + 1]].sort()
+            one = np.ones(len(code), bool)
+            one[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
+            yield np.array([row[i] for i in keep], np.int64), np.bincount(doc[one], minlength=len(keep)), code[one]
+
+
+def gram_counts(rows: DataFrame, bits: int) -> np.ndarray:
+    """How many evaluation texts have the shingles of each of ``2**bits`` slots, up to 255.
+
+    They only decide the order in which shingles are tried (rare ones first), never which pairs are found.
+    """
+    low = max(0, bits - 6)  # slots are counted in parts of 2**low
+
+    def slots(batches):
+        def packed(seen):
+            slot = np.sort(np.concatenate(seen) >> U64(64 - bits)).astype(np.uint32)
+            part, first = np.unique(slot >> low, return_index=True)
+            return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([x.tobytes() for x in np.split(slot & np.uint32(2**low - 1), first[1:])], pa.binary())], names=["part", "data"])
+
+        seen, size = [], 0
+        for _, _, code in _grams_of(batches, True):
+            seen.append(code)
+            size += len(code)
+            if size > 2_000_000:
+                yield packed(seen)
+                seen, size = [], 0
+        if seen:
+            yield packed(seen)
+
+    def count(batches):
+        at: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, data in zip(b.column(0).to_pylist(), b.column(1)):
+                got = np.bincount(np.frombuffer(data.as_buffer(), np.uint32), minlength=2**low)
+                at[part] = np.minimum(at.get(part, 0) + got, 255).astype(np.uint8).astype(np.int64)
+        for part, n in at.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n.astype(np.uint8).tobytes()], pa.binary())], names=["part", "data"])
+
+    out = np.zeros((2 ** (bits - low), 2**low), np.uint8)
+    sent = _texts_of(rows, True).mapInArrow(slots, "part int, data binary").repartition(2 ** (bits - low), "part")
+    for part, data in sent.mapInArrow(count, "part int, data binary").collect():
+        out[part] = np.frombuffer(data, np.uint8)
+    return out.reshape(-1)
+
+
+def candidate_pairs(rows: DataFrame, threshold: float, bits: int) -> DataFrame:
+    """``train_row, eval_row`` of all pairs that can have ``threshold`` resemblance: ``SHARED`` of their rarest shingles are shared and their numbers of shingles allow it."""
+    counts = rows.sparkSession.sparkContext.broadcast(gram_counts(rows, bits))
+
+    def side(held: bool) -> DataFrame:
+        def run(batches):
+            for row, sizes, code in _grams_of(batches, held):
+                text = np.repeat(np.arange(len(row)), sizes)
+                rare = counts.value[(code >> U64(64 - bits)).astype(np.int64)]
+                order = np.argsort((text << 8 | rare).astype(np.uint16), kind="stable")  # then by code
+                place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                first = order[place < np.repeat([_prefix_size(int(k), threshold) for k in sizes], sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(code[first].view(np.int64)), pa.array(row[text[first]]), pa.array(sizes[text[first]].astype(np.int32))], schema=_GRAMS)
+
+        return _texts_of(rows, held).mapInArrow(run, "gram bigint, row bigint, n int")
+
+    a = side(False).select("gram", F.col("row").alias("train_row"), F.col("n").alias("n_train"))
+    b = side(True).select("gram", F.col("row").alias("eval_row"), F.col("n").alias("n_eval"))
+    t = F.lit(threshold)
+    met = a.join(b.hint("merge"), "gram").filter((F.col("n_eval") >= t * F.col("n_train") - 1e-9) & (F.col("n_train") >= t * F.col("n_eval") - 1e-9))
+    need = F.least(F.lit(SHARED), F.ceil(t * F.min(F.greatest("n_train", "n_eval")) - 1e-9))  # a repeated row may only count more
+    return met.groupBy("train_row", "eval_row").agg(F.count("*").alias("shared"), need.alias("need")).filter("shared >= need").select("train_row", "eval_row")
+
+
+def compared(words: np.ndarray, other: np.ndarray) -> tuple[int, int, int, int]:
+    """Shingles shared and united, longest match, and words in merged matches, of two texts given by the hashes of their words."""
+    code, theirs = gram_codes(words), np.unique(gram_codes(other))
+    place = np.flatnonzero(theirs[np.minimum(np.searchsorted(theirs, code), len(theirs) - 1)] == code)
+    if not len(place):
+        return 0, len(np.unique(code)) + len(theirs), 0, 0
+    cut = np.flatnonzero(np.diff(place) != 1) + 1  # places in a row are a maximal match
+    first, last = place[np.concatenate([[0], cut])], place[np.concatenate([cut - 1, [len(place) - 1]])]
+    spans = list(zip(first.tolist(), (last + SHINGLE).tolist()))
+    shared = len(np.unique(code[place]))
+    return shared, len(np.unique(code)) + len(theirs) - shared, max(e - s for s, e in spans), sum(e - s for s, e in merged(spans))
+
+
+def routed_copies(essays: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+    """As ``near_copies``, for evaluation sides of any size: pairs that share a rare shingle meet in a join, and the
+    maximal matches of the two texts decide. No training row is read once per shard."""
+    rows = _rows(essays)
+    pairs = materialize(candidate_pairs(rows, threshold, min(COUNT_BITS, max(16, held_words(keys).bit_length() + 1))), "near-candidates")
+
+    def texts(held: bool, row: str) -> DataFrame:
+        side = _texts_of(rows, held).select(F.col("essay_row").alias(row), F.col("set_name").alias(f"{row}_set"), F.col("full_text").alias(f"{row}_text"))
+        return side.join(small_or_not(pairs.select(row).distinct()), row, "left_semi")
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                row, a_set, a, b_set, c = (x.to_pylist() for x in b.slice(at, 256).columns)
+                keep = [i for i in range(len(row)) if _split(a_set[i]) == "train" and _split(b_set[i]) in EVAL_SETS]
+                out = []
+                for i, x, y in zip(keep, _per_text([a[i] for i in keep]), _per_text([c[i] for i in keep])) if keep else ():
+                    if min(len(x), len(y)) >= SHINGLE:
+                        got = compared(x, y)
+                        if got[0] >= threshold * got[1] - 1e-9:
+                            out.append((row[i], _digest(y.tobytes()), *got))
+                if out:
+                    yield record_batch(_NEAR, list(zip(*out)))
+
+    met = pairs.join(texts(False, "train_row"), "train_row").join(texts(True, "eval_row"), "eval_row")
+    found = met.select("train_row", "train_row_set", "train_row_text", "eval_row_set", "eval_row_text").mapInArrow(run, _NEAR_SQL)
+    return found.distinct()  # evaluation texts may be the same
+
+
 def near_copies(essays: DataFrame, keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Training rows and evaluation texts (by word key) of at least ``threshold`` resemblance, by their maximal matches."""
-    path, n_shards = build_index(essays, keys)
-    train, out = _rows(essays), None
-    for shard in range(n_shards):
-
-        def run(batches, shard=shard):
-            index = load_shard(path, shard)
-            for b in batches:
-                for at in range(0, b.num_rows if index is not None else 0, 256):
-                    part = b.slice(at, 256)
-                    row, name, text = (part.column(i).to_pylist() for i in range(3))
-                    keep = [i for i in range(len(row)) if row[i] is not None and text[i] and _split(name[i]) == "train"]
-                    found = index.near(_per_text([text[i] for i in keep]), threshold) if keep else []
-                    if found:
-                        yield record_batch(_NEAR, list(zip(*((row[keep[t]], *rest) for t, *rest in found))))
-
-        found = train.mapInArrow(run, _NEAR_SQL)
-        out = found if out is None else out.unionByName(found)
-    return out
+    """Training rows and evaluation texts (by word key) of at least ``threshold`` resemblance, by their maximal matches.
+
+    Evaluation texts of one shard are held as an index in the tasks; more of them would need a pass over the training rows each.
+    """
+    if held_words(keys) > SHARD_WORDS:
+        return routed_copies(essays, keys, threshold)
+    path, _ = build_index(essays, keys)
+
+    def run(batches):
+        index = load_shard(path, 0)
+        for b in batches:
+            for at in range(0, b.num_rows if index is not None else 0, 256):
+                part = b.slice(at, 256)
+                row, name, text = (part.column(i).to_pylist() for i in range(3))
+                keep = [i for i in range(len(row)) if row[i] is not None and text[i] and _split(name[i]) == "train"]
+                found = index.near(_per_text([text[i] for i in keep]), threshold) if keep else []
+                if found:
+                    yield record_batch(_NEAR, list(zip(*((row[keep[t]], *rest) for t, *rest in found))))
+
+    return _rows(essays).mapInArrow(run, _NEAR_SQL)
 
 
 def overlaps(essays: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

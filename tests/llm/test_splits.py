@@ -96,3 +96,16 @@ def test_backward_search_counts():
         for g in set(grams):
             assert count(g) == grams.count(g)
     assert count(("c", "c")) == 0
+
+
+def test_large_evaluation_side_takes_one_pass(spark, monkeypatch):
+    """An evaluation side beyond one shard gives the rows of the index, without a pass over the training rows per shard."""
+    rows = essays(5)
+    df = spark.createDataFrame(rows, "essay_row long, text_id_kaggle string, full_text string, set_name string, source string, word_key int")
+    keys = P.split_keys(df).cache()
+    every = lambda d: sorted(tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in d.collect())
+    index = every(P.near_copies(df, keys))
+    monkeypatch.setattr(P, "SHARD_WORDS", 300)
+    routed = P.near_copies(df, keys)
+    assert every(routed) == index and len(index) > 5
+    assert routed._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") <= 2
