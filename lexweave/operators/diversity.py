@@ -10,6 +10,7 @@ undefined values are null.
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -162,21 +163,161 @@ def vocd_of(words: list[str], seed: int = 42, trials: int = 100, top: float = 20
     return sum(kept) / len(kept) if kept else None
 
 
+class Draws:
+    """The samples of ``vocd_of``. The places drawn depend on the number of words only, so texts of one length share them.
+
+    ``counts(n)`` holds for each place a bit for every sample that has it (the samples of a run and size in 128 bits). The
+    types of all samples of a size are then the bits that are set in the union of the places of each type.
+    """
+
+    def __init__(self, seed: int = 42, trials: int = 100, top: float = 200.0, runs: int = 3):
+        import numpy as np
+
+        if trials > 128:
+            raise ValueError("at most 128 samples of a size")
+        self.seed, self.trials, self.top, self.runs, self.made = seed, trials, top, runs, (0, None)
+        self.grid, self.curves = np.linspace(1.0, top, 400), {}
+        self.streams = [(random.Random(seed + r), []) for r in range(runs)]  # the generators' words of 32 bits
+
+    def _stream(self, r: int, least: int):
+        import numpy as np
+
+        rng, parts = self.streams[r]
+        while sum(map(len, parts)) < least:
+            parts.append(np.frombuffer(rng.getrandbits(32 * 200_000).to_bytes(800_000, "little"), np.uint32))
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+    def _drawn(self, r: int, n: int, sizes: range):
+        """Places drawn in a run, sample after sample, as ``random.sample`` draws them, and how many each sample takes; a place may be there twice."""
+        import numpy as np
+
+        least = 1
+        while True:
+            raw = self._stream(r, least)
+            try:
+                return (self._from_list if n <= 21 + (4 ** math.ceil(math.log(3 * sizes[0], 4)) if sizes[0] > 5 else 0) else self._from_set)(raw, n, sizes)
+            except IndexError:
+                least = len(raw) + 1
+
+    def _from_list(self, raw, n: int, sizes: range):
+        """Short texts: a drawn place is filled with the last one, and the next draw is from one place less."""
+        import numpy as np
+
+        stream, all_, at, out, lens = raw.tolist(), list(range(n)), 0, [], []
+        for k in sizes:
+            steps = [(n - i, 32 - (n - i).bit_length()) for i in range(k)]
+            for _ in range(self.trials):
+                pool = all_[:]
+                for left, shift in steps:
+                    j = stream[at] >> shift
+                    at += 1
+                    while j >= left:
+                        j = stream[at] >> shift
+                        at += 1
+                    out.append(pool[j])
+                    pool[j] = pool[left - 1]
+                lens.append(k)
+        return np.array(out, np.int32), np.array(lens)
+
+    def _from_set(self, raw, n: int, sizes: range):
+        """Long texts: a place that the sample has is drawn again."""
+        import numpy as np
+
+        drawn = raw >> np.uint32(32 - n.bit_length())
+        drawn = drawn[drawn < n].astype(np.int32)
+        some = int(sum(sizes) * self.trials * (1 + 60 / n) + 5000) * (len(raw) // 200_000)  # what is needed as a rule
+        drawn = drawn[:some]
+        by = np.argsort(drawn.astype(np.uint16) if n < 65536 else drawn, kind="stable")
+        again = np.flatnonzero(drawn[by[1:]] == drawn[by[:-1]])
+        place, before = by[again + 1], by[again]  # a place drawn again, and when it was drawn before
+        near = place - before < 1000  # far longer than a sample
+        turn = np.argsort(place[near])
+        place, before = [*place[near][turn].tolist(), len(drawn) + 1000], before[near][turn].tolist()
+        at, i, lens = 0, 0, []
+        for k in sizes:
+            for _ in range(self.trials):
+                end = at + k
+                while place[i] < end:
+                    end += before[i] >= at
+                    i += 1
+                lens.append(end - at)
+                at = end
+        if at > len(drawn):
+            raise IndexError
+        return drawn[:at], np.array(lens)
+
+    def counts(self, n: int):
+        import numpy as np
+
+        if self.made[0] != n:
+            sizes = range(min(35, n), min(50, n) + 1)
+            out = np.zeros((n, self.runs, len(sizes), 16), np.uint8)
+            step = max(1, (1 << 24) // (128 * n))  # sizes at a time, so that memory does not follow the text
+            for r in range(self.runs):
+                places, lens = self._drawn(r, n, sizes)
+                ends = np.concatenate([[0], np.cumsum(lens)])
+                column = np.repeat(np.arange(len(lens)) // self.trials * 128 + np.arange(len(lens)) % self.trials, lens)
+                for i in range(0, len(sizes), step):
+                    k = min(step, len(sizes) - i)
+                    part = slice(ends[i * self.trials], ends[(i + k) * self.trials])
+                    has = np.zeros((n, k * 128), bool)
+                    has[places[part], column[part] - i * 128] = True
+                    out[:, r, i : i + k] = np.packbits(has, axis=1).reshape(n, k, 16)
+            self.made = n, out.reshape(n, -1).view(np.uint64)
+        return self.made[1]
+
+    def vocd(self, words) -> float | None:
+        """``vocd_of`` of a text given by the numbers of its words."""
+        import numpy as np
+
+        n = len(words)
+        if n == 0:
+            return None
+        sizes = np.arange(min(35, n), min(50, n) + 1)
+        order = np.argsort(words, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(words[order]) != 0]))
+        types = np.bitwise_count(np.bitwise_or.reduceat(self.counts(n)[order], first, axis=0)).sum(axis=0, dtype=np.uint32)
+        seen = types.reshape(self.runs, len(sizes), 2).sum(axis=2) / sizes / self.trials
+
+        def curve(d: np.ndarray) -> np.ndarray:
+            d = d[..., None]
+            return (d / sizes) * (np.sqrt(1 + 2 * sizes / d) - 1)
+
+        if len(sizes) not in self.curves or len(sizes) == 1:
+            self.curves[len(sizes)] = curve(self.grid[None])
+        best = self.grid[((self.curves[len(sizes)] - seen[:, None, :]) ** 2).sum(axis=2).argmin(axis=1)]
+        seen, best = seen[best < self.top - 0.5], best[best < self.top - 0.5]
+        if not len(best):
+            return None
+        fine = np.concatenate([best[:, None], np.linspace(np.maximum(1.0, best - 1), np.minimum(self.top, best + 1), 200, axis=1)], axis=1)
+        kept = fine[np.arange(len(best)), ((curve(fine) - seen[:, None, :]) ** 2).sum(axis=2).argmin(axis=1)].tolist()
+        return sum(kept) / len(kept)
+
+
 def vocd(docs: DataFrame, keys: list[str], words: str = "tokens", seed: int = 42) -> DataFrame:
-    """``keys, vocd`` from an array column of ordered tokens, in Arrow batches."""
+    """``keys, vocd`` from an array column of ordered tokens, in Arrow batches; texts of one length lie together and share their samples."""
+    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     types = [f for f in docs.select(*keys).schema]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in types) + ", vocd double"
 
     def run(batches):
-        for b in batches:
-            values = [vocd_of(w or [], seed) for w in b.column(len(types)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(types))), pa.array(values, pa.float64())], names=[*(f.name for f in types), "vocd"])
+        draws = Draws(seed)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                lists = b.column(len(types))
+                number = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                ends = np.cumsum([n or 0 for n in pc.list_value_length(lists).to_pylist()])
+                values = [draws.vocd(number[e - n : e]) for e, n in zip(ends.tolist(), np.diff(ends, prepend=0).tolist())]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(types))), pa.array(values, pa.float64())], names=[*(f.name for f in types), "vocd"])
 
-    # sampling costs far more than moving the tokens: spread them evenly
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
-    return docs.select(*keys, words).repartition(n, *keys).mapInArrow(run, ddl)
+    size = F.coalesce(F.size(words), F.lit(0)).alias("size")
+    lying = docs.select(*keys, words, size).repartitionByRange(n, F.xxhash64("size"), F.xxhash64(*keys)).sortWithinPartitions("size")  # a frequent length takes several partitions
+    return lying.drop("size").mapInArrow(run, ddl)
 
 
 def vocd_expected(tokens: DataFrame, keys: list[str], token: str = "token", top: float = 200.0) -> DataFrame:

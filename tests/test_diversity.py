@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from lexweave.operators import diversity as D
@@ -80,3 +81,18 @@ def test_floors_and_long_form(spark):
     wide = D.panel_a(t, ["k"])
     assert wide.count() == 1 and {r.index_key for r in D.long_form(wide, ["k"]).collect()} == set(D.INDICES) - {"vocd"}
     assert D.panel_a(t.limit(0), ["k"]).count() == 0
+
+
+def test_vocd_of_texts_of_one_length_shares_its_samples(spark, monkeypatch):
+    """All texts of a length are measured on samples drawn once, with the values of the plain definition."""
+    r = random.Random(8)
+    texts = {f"t{i}": [f"w{int(r.paretovariate(0.7)) % 90}" for _ in range(n)] for i, n in enumerate([1, 20, 34, 35, 36, 49, 50, 51, 64, 276, 277, 278, 512, 900, 900, 900, 2100])}
+    arr = spark.createDataFrame(list(texts.items()), "k string, tokens array<string>")
+    assert one(D.vocd(arr, ["k"]), "vocd") == {k: D.vocd_of(ts) for k, ts in texts.items()}
+    calls = []
+    plain = D.Draws._drawn
+    monkeypatch.setattr(D.Draws, "_drawn", lambda *a: calls.append(1) or plain(*a))
+    draws = D.Draws()
+    for k in ("t13", "t14", "t15"):
+        draws.vocd(np.array([int(w[1:]) for w in texts[k]]))
+    assert len(calls) == 3  # one a run
