@@ -6,12 +6,15 @@ A corpus without tokens gives empty results.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexweave.operators.ordered import running
-from lexweave.session import small_or_not
+from lexweave.session import materialize, small_or_not
 
 
 def unigrams(tokens: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -166,28 +169,135 @@ def contextual_diversity(tokens: DataFrame, register: str, doc: str = "doc_id")
     return agg.crossJoin(n).select("token", "frequency", "contexts", "registers", F.when(F.col("n_registers") > 1, F.col("h") / F.log2("n_registers")).alias("register_entropy"))
 
 
+def _draw_hash(doc: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """``xxhash64(doc, b, seed)`` of rounds b = 1, 2, ..., given Spark's ``xxhash64(doc)``."""
+    u = np.uint64
+    p1, p2, p3, p5 = (u(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+    def with_int(h: np.ndarray, i: np.ndarray) -> np.ndarray:
+        h = (h + (p5 + u(4))) ^ (i * p1)
+        h = ((h << u(23)) | (h >> u(41))) * p2 + p3
+        h = (h ^ (h >> u(33))) * p2
+        h = (h ^ (h >> u(29))) * p3
+        return h ^ (h >> u(32))
+
+    each = with_int(doc.view(u)[:, None], np.arange(1, rounds + 1, dtype=u)[None])
+    return with_int(each, np.full(1, seed & 0xFFFFFFFF, u))
+
+
+def _draw_weights(doc: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """How often each document is drawn in each round: quantiles of the Poisson distribution of mean one."""
+    acc, p, bounds = 0.0, 0.36787944117144233, []
+    for k in range(1, 8):
+        acc += p
+        bounds.append(acc)
+        p /= k
+    # (h + 0.5) / 2**30 >= bound, for whole numbers h
+    least = np.array([next(h for h in range(int(x * 2**30) - 2, 2**30 + 3) if (h + 0.5) / 2**30 >= x) for x in bounds], np.int64)
+    h = (_draw_hash(doc, rounds, seed) & np.uint64((1 << 30) - 1)).astype(np.int64)
+    return np.searchsorted(least, h, side="right")
+
+
+#: Words of a block of counts, documents of a block, and cells of sums that a task holds before it hands them on.
+_WORDS, _DOCS, _CELLS = 1024, 2048, 4_000_000
+
+
 def bootstrap(tokens: DataFrame, words: DataFrame, register: str, rounds: int = 300, seed: int = 7, doc: str = "doc_id") -> DataFrame:
     """95 percent document bootstrap intervals of range percent and DKL for chosen words.
 
     Each document is drawn a Poisson(1) number of times per round, decided by a hash of document
-    and round: no document table is copied, results are the same on any cluster, and what is
-    shuffled is one partial sum per word, register and round.
+    and round: no document table is copied, results are the same on any cluster. Tasks multiply
+    the draws of their documents with the counts of the words in them, as matrices; what is
+    shuffled is one row of sums over all rounds per word, register and task.
     """
-    per = tokens.groupBy(doc, register).agg(F.count("*").alias("c"), F.lit(1).alias("one"))
-    rounds_of = F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b")
-    u = (F.pmod(F.xxhash64(doc, "b", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weight, p, acc = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(1, 8):  # quantiles of the Poisson distribution of mean one
-        acc += p
-        weight = weight + F.when(u >= acc, 1).otherwise(0)
-        p /= k
-    sizes = per.select(doc, register, "c", rounds_of).withColumn("w", weight).filter("w > 0")
-    by_reg = sizes.groupBy("b", register).agg(F.sum(F.col("w") * F.col("c")).alias("c_reg"), F.sum("w").alias("docs"))
-    hit = tokens.join(small_or_not(words.select("token").distinct()), "token", "left_semi").groupBy("token", doc, register).agg(F.count("*").alias("v"))
-    v = hit.select("token", doc, register, "v", rounds_of).withColumn("w", weight).filter("w > 0").groupBy("token", "b", register).agg(F.sum(F.col("w") * F.col("v")).alias("v"), F.sum("w").alias("r"))
-    x = v.join(by_reg, ["b", register]).withColumn("f", F.sum("v").over(W.partitionBy("token", "b")))
-    tot = by_reg.groupBy("b").agg(F.sum("c_reg").alias("C"), F.sum("docs").alias("D"))
-    x = x.join(tot, "b")
-    q, s = F.col("v") / F.col("f"), F.col("c_reg") / F.col("C")
-    stat = x.groupBy("token", "b").agg((100 * F.sum("r") / F.max("D")).alias("range_pct"), F.sum(q * F.log2(q / s)).alias("dkl"))
-    return stat.groupBy("token").agg(*(F.percentile(c, p).alias(f"{c}_{n}") for c in ("range_pct", "dkl") for n, p in (("low", 0.025), ("high", 0.975))))
+    reg = next(f.dataType.simpleString() for f in tokens.schema if f.name == register)
+    chosen = small_or_not(words.select("token").distinct().withColumn("chosen", F.lit(True)))
+    counts = tokens.groupBy(doc, register, "token").agg(F.count("*").alias("v")).join(chosen, "token", "left")
+    per = counts.groupBy(doc, register).agg(
+        F.sum("v").alias("c"), F.collect_list(F.when(F.col("chosen"), F.struct("token", "v"))).alias("hits")
+    ).select(F.xxhash64(doc).alias("h"), F.col(register).alias("reg"), "c", F.col("hits.token").alias("t"), F.col("hits.v").alias("n"))
+
+    def sums(batches):
+        held: dict = {}  # register: words (None: all its tokens and documents) and their two sums
+
+        def flush():
+            for r, (number, at) in held.items():
+                names = list(number)
+                for s in range(0, len(names), 512):
+                    rows = at[s : s + 512][: len(names) - s]
+                    data = [pa.array([x[i].astype(np.int64).tobytes() for x in rows], pa.binary()) for i in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[s : s + 512], pa.string()), pa.array([r] * len(rows), kind), *data], names=["token", "reg", "v", "r"])
+            held.clear()
+
+        kind = None
+        for whole in batches:
+            kind = whole.schema.field(1).type
+            for s in range(0, whole.num_rows, _DOCS):
+                b = whole.slice(s, _DOCS)
+                regs = b.column(1).to_pylist()
+                w = _draw_weights(b.column(0).to_numpy(), rounds, seed).astype(np.float64)  # whole numbers, so sums are exact
+                c = b.column(2).to_numpy().astype(np.float64)
+                size = pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
+                of = np.repeat(np.arange(b.num_rows), size)
+                code = b.column(3).flatten().dictionary_encode()
+                word, n = code.indices.to_numpy(zero_copy_only=False), b.column(4).flatten().to_numpy(zero_copy_only=False)
+                names = code.dictionary.to_pylist()
+                by: dict = {}
+                for i, r in enumerate(regs):
+                    by.setdefault(r, []).append(i)
+                for r, docs in by.items():
+                    number, at = held.setdefault(r, ({}, []))
+                    mine = w[docs].T
+                    place = np.full(b.num_rows, -1)
+                    place[docs] = np.arange(len(docs))
+                    here = place[of] >= 0
+                    used, col = np.unique(word[here], return_inverse=True)
+                    row, times = place[of[here]], n[here]
+                    parts = [(None, (mine @ c[docs]), mine.sum(axis=1))]  # the register's tokens and documents
+                    for k in range(0, len(used), _WORDS):
+                        some = (col >= k) & (col < k + _WORDS)
+                        m = np.zeros((len(docs), min(_WORDS, len(used) - k)))
+                        m[row[some], col[some] - k] = times[some]
+                        v, d = mine @ m, mine @ (m > 0).astype(np.float64)
+                        parts += [(names[used[k + j]], v[:, j], d[:, j]) for j in range(m.shape[1])]
+                    for name, v, d in parts:
+                        if name not in number:
+                            number[name] = len(at)
+                            at.append(np.zeros((2, rounds)))
+                        at[number[name]][0] += v
+                        at[number[name]][1] += d
+                if sum(len(at) for _, at in held.values()) * 2 * rounds > _CELLS:
+                    yield from flush()
+        yield from flush()
+
+    def added(table: pa.Table) -> pa.Table:
+        v, r = (sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column(k)) for k in ("v", "r"))
+        return pa.table({"token": table.column("token").slice(0, 1), "reg": table.column("reg").slice(0, 1), "v": pa.array([v.tobytes()], pa.binary()), "r": pa.array([r.tobytes()], pa.binary())})
+
+    shape = f"token string, reg {reg}, v binary, r binary"
+    total = materialize(per.mapInArrow(sums, shape).groupBy("token", "reg").applyInArrow(added, shape), "bootstrap-sums")
+    by_reg = total.filter("token is null").select("reg", F.col("v").alias("c_reg"), F.col("r").alias("docs"))
+
+    def all_of(table: pa.Table) -> pa.Table:
+        c, d = (sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column(k)) for k in ("c_reg", "docs"))
+        return pa.table({"C": pa.array([c.tobytes()], pa.binary()), "D": pa.array([d.tobytes()], pa.binary())})
+
+    everything = by_reg.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(all_of, "C binary, D binary")
+
+    def intervals(table: pa.Table) -> pa.Table:
+        v, r, c_reg, c, d = (np.stack([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(k)]).astype(np.float64) for k in ("v", "r", "c_reg", "C", "D"))
+        f = v.sum(axis=0)
+        some = f > 0
+        v, r, c_reg, c, d, f = v[:, some], r[:, some], c_reg[:, some], c[0, some], d[0, some], f[some]
+        q = v / f
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dkl = np.where(v > 0, q * np.log2(q / (c_reg / c)), 0.0).sum(axis=0)
+        stat = [100 * r.sum(axis=0) / d, dkl]
+        cut = [np.percentile(x, [2.5, 97.5]).tolist() if len(f) else [None, None] for x in stat]
+        if not len(f):  # drawn in no round
+            return pa.table({k: pa.array([], t) for k, t in (("token", pa.string()), *((x, pa.float64()) for x in names))})
+        return pa.table({"token": table.column("token").slice(0, 1)} | {k: [x] for k, x in zip(names, cut[0] + cut[1])})
+
+    names = [f"{c}_{n}" for c in ("range_pct", "dkl") for n in ("low", "high")]
+    met = total.filter("token is not null").join(small_or_not(by_reg, 10_000), "reg")
+    return met.crossJoin(F.broadcast(everything)).groupBy("token").applyInArrow(intervals, "token string, " + ", ".join(f"{x} double" for x in names))

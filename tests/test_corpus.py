@@ -50,3 +50,34 @@ def test_bootstrap_of_the_whole_list(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, source string, genre_id string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([("the", 1), ("cat", 2), ("mat", 9), ("dog", 1)], "form string, band int").write.parquet(str(tmp_path / "rank_list.parquet"))
     assert {r.token for r in catalog.queries()["bootstrap_ci"](spark, str(tmp_path)).collect()} == {"the", "cat", "mat"}
+
+
+def test_bootstrap_against_plain_python(spark):
+    """Intervals of the plain definition, without a row per word, document and round."""
+    import math
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    rows = [(d, i, r.choice("aabbbcdxyz"), f"r{d % 3}") for d in range(40) for i in range(r.randint(1, 12))] + [(99, 1, "e", "r0")]
+    t = spark.createDataFrame(rows, "doc_id long, pos int, token string, reg string")
+    w = spark.createDataFrame([(x,) for x in "abcdea"] + [("none",)], "token string")
+    frame = C.bootstrap(t, w, "reg", rounds=60)
+    assert "explode" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    got = {x.token: x[1:] for x in frame.collect()}
+    hashes = spark.range(100).select("id", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("b")).select("id", "b", F.pmod(F.xxhash64("id", "b", F.lit(7)), F.lit(1 << 30)).alias("h")).collect()
+    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(7)])
+    drawn = {(x.id, x.b): int(((x.h + 0.5) / 2**30 >= cdf).sum()) for x in hashes}
+    docs, reg = {d for d, *_ in rows}, {d: g for d, _, _, g in rows}
+    for word in "abcde":
+        share, dkl = [], []
+        for b in range(1, 61):
+            size, v = ({g: sum(drawn[d, b] for d, _, x, h in rows if h == g and (y is None or x == y)) for g in ("r0", "r1", "r2")} for y in (None, word))
+            if sum(v.values()):
+                share.append(100 * sum(drawn[d, b] for d in {d for d, _, x, _ in rows if x == word}) / sum(drawn[d, b] for d in docs))
+                dkl.append(sum(v[g] / sum(v.values()) * math.log2(v[g] / sum(v.values()) * sum(size.values()) / size[g]) for g in v if v[g]))
+        assert got[word] == pytest.approx([*np.percentile(share, [2.5, 97.5]), *np.percentile(dkl, [2.5, 97.5])])
+    assert set(got) == set("abcde") and len(reg) == 41
+    assert C.bootstrap(t.limit(0), w, "reg").count() == 0
