@@ -110,11 +110,11 @@ def _factors(steps: Column, threshold: float, least: int) -> Column:
 
 def mtld(tokens: DataFrame, keys: list[str], token: str = "token", threshold: float = 0.72, least: int = 10) -> DataFrame:
     """Mean of the forward and backward mean factor length."""
-    x = linked(tokens, keys, token)
-    back = F.when(F.col("next") > 0, F.col("n") + 1 - F.col("next")).otherwise(0)
-    both = x.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "prev"))).alias("fwd"),
-        F.array_sort(F.collect_list(F.struct((F.col("n") + 1 - F.col("pos")).alias("pos"), back.alias("prev")))).alias("bwd"),
+    # one list a key; it is turned around only while the key is measured
+    all_ = linked(tokens, keys, token).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "prev", "next"))).alias("fwd"))
+    turn = F.size("fwd").cast("bigint") + 1
+    both = all_.withColumn(
+        "bwd", F.transform(F.reverse("fwd"), lambda x: F.struct((turn - x["pos"]).alias("pos"), F.when(x["next"] > 0, turn - x["next"]).otherwise(0).alias("prev")))
     )
     n = F.size("fwd").cast("double")
     one = lambda c: F.try_divide(n, _factors(F.col(c), threshold, least))

@@ -172,12 +172,23 @@ def s_index(mapped: DataFrame, keys: list[str], least: int = 50) -> DataFrame:
     return step.select(*keys, F.when(long, F.col("best")).alias("s"), F.when(long, F.col("best") >= S_MAX).alias("capped"), *(F.when(long, emp[x]).alias(f"cov_{x}") for x in S_RANKS))
 
 
-def band_wise(mapped: DataFrame, keys: list[str], n_levels: int, min_tokens: int = 50) -> DataFrame:
-    """Diversity of the heads of each band (0: off-list), in text order."""
+def bands(mapped: DataFrame, keys: list[str], n_levels: int) -> DataFrame:
+    """The heads of each band (0: off-list), numbered anew in text order."""
     lev = F.coalesce("level", F.lit(0)).alias("level")
     one = mapped.select(*keys, "pos", "head", lev).filter(F.col("level") <= n_levels)
+    return one.withColumn("pos", F.row_number().over(W.partitionBy(*keys, "level").orderBy("pos")).cast("bigint"))
+
+
+def band_wise_mtld(mapped: DataFrame, keys: list[str], n_levels: int) -> DataFrame:
+    """The MTLD of each band alone: nothing else of ``band_wise`` is worked out and joined."""
+    k = [*keys, "level"]
+    return D.mtld(bands(mapped, keys, n_levels), k, "head").select(*k, "mtld")
+
+
+def band_wise(mapped: DataFrame, keys: list[str], n_levels: int, min_tokens: int = 50) -> DataFrame:
+    """Diversity of the heads of each band (0: off-list), in text order."""
     k = [*keys, "level"]
-    one = one.withColumn("pos", F.row_number().over(W.partitionBy(*k).orderBy("pos")).cast("bigint"))
+    one = bands(mapped, keys, n_levels)
     base = one.groupBy(*k).agg(F.count("*").alias("tokens"), F.count_distinct("head").alias("types"))
     out = base
     for part in (D.mtld(one, k, "head").select(*k, "mtld"), D.mattr(one, k, "head"), D.hdd(one, k, "head")):

@@ -139,7 +139,7 @@ def band_wise(spark, sf):
 
 @R.query()
 def band_wise_mtld(spark, sf):
-    return rounded(P.band_wise(mapped(spark, sf), KEYS, LEVELS)).select("doc_id", "level", "mtld")
+    return rounded(P.band_wise_mtld(mapped(spark, sf), KEYS, LEVELS))
 
 
 @R.query(sql("""+ f AS (SELECT doc_id, head, rank, level, token, count(*) AS c FROM mapped GROUP BY ALL), g AS (SELECT doc_id, head, rank, level, sum(c)::BIGINT AS tokens, count(*) AS k,

@@ -78,3 +78,14 @@ def test_normalizer_names(spark):
     assert N.normalizer("surface-form")(v).first()["head"] == "word"
     with pytest.raises(ValueError):
         N.normalizer("none such")
+
+
+def test_band_wise_mtld_is_all_that_is_worked_out(spark):
+    """Same rows as in ``band_wise``, from one list a band and without a join of the parts."""
+    ranks = [1, 1500, None, 2, 1, 7, 1500, 1501] * 9
+    m = mapped(spark, ranks)
+    frame = P.band_wise_mtld(m, ["k"], 2)
+    key = lambda d: sorted((r.k, r.level, r.mtld) for r in d.collect())
+    assert key(frame) == key(P.band_wise(m, ["k"], 2)) and frame.count() == 3
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1 and "Join" not in plan
